@@ -22,16 +22,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, vec
 
 #: A vocabulary over so many bytes is refused rather than broadcast.
 MOST_VOCABULARY_BYTES = 64 << 20
-#: Distinct pre-tokens remembered by a worker, and the longest one remembered. The memory is emptied when full.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Pre-tokens of up to SHORT bytes are merged many at a time and remembered by the worker, REMEMBERED at most before a batch;
+#: then the memory is emptied. Longer ones have a queue of their own.
+SHORT, REMEMBERED = 64, 400_000
+#: Texts are encoded in runs of so many bytes.
+RUN_BYTES = 6 << 20
 
 
-class RankQueue:
-    """Positions by rank: least rank first, and of one rank the leftmost."""
+class RankBitmap:
+    """The ranks whose buckets hold anything: a tree of 64-bit words."""
 
     def __init__(self, ranks: int):
         self.levels: list[list[int]] = []
@@ -41,14 +44,8 @@ class RankQueue:
             self.levels.append([0] * size)
             if size == 1:
                 break
-        self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def add(self, rank: int) -> None:
         for level in self.levels:
             word = rank >> 6
             before = level[word]
@@ -57,27 +54,75 @@ class RankQueue:
                 return
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
+    def drop(self, rank: int) -> None:
+        for level in self.levels:
+            word = rank >> 6
+            level[word] &= ~(1 << (rank & 63))
+            if level[word]:
+                return
+            rank = word
+
+    def least(self) -> int:
+        """By find-first-set on one word a level; -1: none."""
         rank = 0
         for level in reversed(self.levels):
             word = level[rank]
             if not word:
-                return None
+                return -1
             rank = rank << 6 | (word & -word).bit_length() - 1
+        return rank
+
+
+class RankQueue:
+    """Positions by rank, one by one: least rank first, and of one rank the leftmost."""
+
+    def __init__(self, ranks: int):
+        self.bitmap = RankBitmap(ranks)
+        self.buckets: dict[int, list[int]] = {}
+
+    def push(self, rank: int, position: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            heappush(bucket, position)
+        else:
+            self.buckets[rank] = [position]
+            self.bitmap.add(rank)
+
+    def pop(self) -> tuple[int, int] | None:
+        rank = self.bitmap.least()
+        if rank < 0:
+            return None
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
-                if level[word]:
-                    break
-                at = word
+            self.bitmap.drop(rank)
         return rank, position
 
 
+class BucketQueue:
+    """Positions by rank, a whole bucket at a time."""
+
+    def __init__(self, ranks: int):
+        self.bitmap = RankBitmap(ranks)
+        self.buckets: dict[int, list[int]] = {}
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket += positions
+        else:
+            self.buckets[rank] = positions
+            self.bitmap.add(rank)
+
+    def take(self) -> tuple[int, list[int]] | None:
+        rank = self.bitmap.least()
+        if rank < 0:
+            return None
+        self.bitmap.drop(rank)
+        return rank, self.buckets.pop(rank)
+
+
 class Codec:
     """Encodes and decodes by a rank file's content and a pre-token pattern."""
 
@@ -91,7 +136,12 @@ class Codec:
         self.size = max(self.ranks.values(), default=0) + 1
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(self.size)
-        self.known = _Known(self)
+        self.known: dict[str, bytes] = {}
+        self.pairs = PairTable(self.ranks)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
+        lengths = np.array([len(self.tokens.get(i, b"")) for i in range(self.size)])
+        self.lengths, self.begins = lengths, np.cumsum(lengths) - lengths
+        self.content = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(self.size)), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -133,29 +183,129 @@ class Codec:
             i = after[i]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids, each as four bytes, little-endian."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens not yet known; those that are too long to be remembered are returned."""
+        short, data, long = [], [], {}
+        for piece in pieces:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.known[piece] = whole.to_bytes(4, "little")
+            elif len(raw) <= SHORT:
+                short.append(piece)
+                data.append(raw)
+            else:
+                long[piece] = np.array(self.merge(raw), "<u4").tobytes()
+        if short:
+            self.known.update(zip(short, merge_many(data, self.byte_ids, self.pairs, self.size), strict=True))
+        return long
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, each as four bytes, little-endian."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = [self.find(x) for x in texts]
+        new: set[str] = set()
+        for x in found:
+            new.update(x)
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        return b"".join(map(known.__getitem__, self.find(text)))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-class _Known(dict):
-    """Pre-token to its ids' bytes."""
+        long = self.learn({x for x in new if x not in known})
+        if not long:
+            return [b"".join(map(self.known.__getitem__, x)) for x in found]
+        return [b"".join([self.known[y] if y in self.known else long[y] for y in x]) for x in found]
 
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        if len(piece) <= REMEMBERED_CHARS:
-            self[piece] = ids
-        return ids
+    def decode(self, ids: bytes) -> bytes:
+        out = []
+        every = np.frombuffer(ids, "<u4")
+        for at in range(0, every.size, 1 << 18):
+            part = every[at : at + (1 << 18)].astype(np.int64)
+            size = self.lengths[part]
+            total = np.cumsum(size)
+            if size.size:
+                out.append(self.content[np.repeat(self.begins[part] - total + size, size) + np.arange(total[-1])].tobytes())
+        return b"".join(out)
+
+
+class PairTable:
+    """Rank of the concatenation of two tokens, for arrays of pairs; -1: no token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.r_[np.array(keys, np.int64)[order], np.iinfo(np.int64).max]
+        self.values = np.r_[np.array(values, np.int64)[order], -1]
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+
+def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable, ranks: int) -> list[bytes]:
+    """Ids of many short pre-tokens, as bytes, by one queue over all of them: what comes up is a whole bucket, of which the
+    leftmost valid position of each pre-token is merged and the rest goes back."""
+    sizes = np.array([len(x) for x in pieces])
+    n = int(sizes.sum())
+    owner = np.r_[np.repeat(np.arange(len(pieces)), sizes), -1]
+    token = np.r_[byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], 0]
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n] = n
+    wanted = np.full(n + 1, -1)
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    wanted[inner] = pairs(token[inner], token[inner + 1])
+    order = np.argsort(wanted[:n], kind="stable")
+    order = order[np.searchsorted(wanted[order], 0) :]
+    queue = BucketQueue(ranks)
+    cuts = np.flatnonzero(np.diff(wanted[order])) + 1
+    for run in np.split(order, cuts):
+        if run.size:
+            queue.put(int(wanted[run[0]]), run.tolist())
+    while (least := queue.take()) is not None:
+        rank, bucket = least
+        at = np.unique(np.array(bucket))
+        at = at[wanted[at] == rank]
+        if not at.size:
+            continue
+        own = owner[at]
+        first = np.r_[True, own[1:] != own[:-1]]
+        if not first.all():
+            queue.put(rank, at[~first].tolist())
+            at = at[first]
+        gone = after[at]
+        end = after[gone]
+        token[at], after[at], wanted[gone], wanted[at] = rank, end, -1, -1
+        right = owner[end] == owner[at]
+        i, k = at[right], end[right]
+        before[k] = i
+        left = before[at]
+        inside = (left >= 0) & (owner[left] == owner[at])
+        h = left[inside]
+        both = np.r_[i, h]
+        new = pairs(token[both], np.r_[token[k], np.full(h.size, rank)])
+        wanted[both] = new
+        some = new >= 0
+        for r, position in zip(new[some].tolist(), both[some].tolist(), strict=True):
+            queue.put(r, [position])
+    heads = np.zeros(n + 1, bool)  # the last byte of a part gives the next head
+    heads[np.r_[0, np.cumsum(sizes)[:-1]]] = True
+    at = np.flatnonzero(heads)
+    while at.size:
+        at = after[at]
+        at = at[(at < n) & ~heads[at]]
+        heads[at] = True
+    kept = np.flatnonzero(heads[:n])
+    ids = token[kept].astype("<u4").tobytes()
+    bounds = (np.searchsorted(owner[kept], np.arange(len(pieces) + 1)) * 4).tolist()
+    return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def read_ranks(path: str) -> bytes:
@@ -173,16 +323,14 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, ids_sha, decoded_sha, ids_out = [], [], [], []
-                for text in part.column("text"):
-                    ids = codec.encode(text.as_py() or "")
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    if with_ids:
-                        ids_out.append(np.frombuffer(ids, "<u4").astype(np.int32))
+            _, offs = vec.flat(batch.column("text"))
+            for at, to in vec.slices(offs, RUN_BYTES):
+                part = batch.slice(at, to - at)
+                every = codec.encode_many(part.column("text").to_pylist())
+                n = [len(ids) // 4 for ids in every]
+                ids_sha = [hashlib.sha256(ids).hexdigest() for ids in every]
+                decoded_sha = [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in every]
+                ids_out = [np.frombuffer(ids, "<u4").astype(np.int32) for ids in every] if with_ids else None
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

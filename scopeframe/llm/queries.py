@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, warc
+from . import bpe, exact_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_bpe": bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
