@@ -24,8 +24,10 @@ from . import common, vec
 
 BITS = 20
 #: The bound of the sample that is learnt from.
-LABELLED = 12_000
-ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.15, 1.0, 0.4, 0.1, 4, 48
+LABELLED = 16_000
+ALPHA, BETA, L1, L2, EPOCHS, BATCH = 2.0, 1.0, 20.0, 0.0, 8, 48
+#: A toxic row counts as so many.
+WEIGHT = 8.0
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
         for unique, inverse, bounds, y in batches:
             w = weights(unique)
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[inverse], bounds[:-1]), -35, 35)))
-            each = np.repeat(p - y, np.diff(bounds))
+            each = np.repeat((p - y) * np.where(y > 0, WEIGHT, 1.0), np.diff(bounds))
             g = np.bincount(inverse, each, unique.size)
             # each row's own square, as one row at a time would give
             square = np.bincount(inverse, each * each, unique.size)
