@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, ngram_join, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_bpe": bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 SQL = {
     "op1_warc": warc.SQL,
