@@ -120,3 +120,31 @@ def sets(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
         h, r = h[new], r[new]
     return h, r
+
+
+class Places:
+    """Place of each 64-bit key in an array of distinct keys; -1: not there. Direct-mapped tables on different bits, the keys
+    that lose a slot in one going to the next."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.keys, self.bits, self.tables = keys, bits, []
+        rest = np.arange(keys.size, dtype=np.int32)
+        while rest.size:
+            table = np.full(1 << bits, -1, np.int32)
+            table[self.slots(keys[rest], len(self.tables))] = rest
+            rest = rest[table[self.slots(keys[rest], len(self.tables))] != rest]
+            self.tables.append(table)
+
+    def slots(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return (((keys + np.uint64(k)) * M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.size, -1, np.int32)
+        rest = np.arange(keys.size)
+        for k, table in enumerate(self.tables):
+            own = keys[rest]
+            at = table[self.slots(own, k)]
+            good = (at >= 0) & (self.keys[at] == own)
+            out[rest[good]] = at[good]
+            rest = rest[~good & (at >= 0)]
+        return out
