@@ -32,7 +32,7 @@ END = np.uint64(0x5D3C1A7F00E1D2B9)
 HEAD, TOP, TAILS, SIZE = 1 << 18, 767, 256, 24
 CLASSES = TOP + 1 + TAILS
 #: Share of positions that a round trains on, rounds, tokens a step, noise samples a step, learning rate.
-SHARE, ROUNDS, BATCH, NOISE, RATE = 0.25, 2, 1024, 96, 0.08
+SHARE, ROUNDS, BATCH, NOISE, RATE = 0.5, 2, 512, 96, 0.1
 #: Distinct words that a counting task holds at once.
 HELD = 500_000
 
@@ -175,7 +175,7 @@ def start(noise: np.ndarray) -> Model:
 def train(model: Model, noise: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> int:
     """Noise-contrastive steps over (two before, before, class) triples, by AdaGrad, in place. How many triples."""
     rng = np.random.default_rng(9)
-    grown = [np.full_like(x, 1e-2) for x in (model.r, model.out, model.c1, model.c2, model.bias)]
+    grown = [np.full_like(x, 1e-8) for x in (model.r, model.out, model.c1, model.c2, model.bias)]
     log_noise = np.log(NOISE * noise).astype(np.float32)
     cumulative = np.cumsum(noise)
 
