@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, neural_lm, ngram_join, suffix_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, line_dedup, neural_lm, ngram_join, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm": neural_lm.op5_lm,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_bpe": bpe.op7_bpe,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
