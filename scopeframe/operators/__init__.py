@@ -1 +1 @@
-
+"""Operators over sources, scopes, symbols and references."""
