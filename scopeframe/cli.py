@@ -58,13 +58,13 @@ def main(argv: list[str] | None = None) -> int:
             with open(args.input, "rb") as f:
                 code = f.read().decode("utf-8")
     except (OSError, UnicodeDecodeError) as e:
-        say(f"scopeframe: failed to read input: {e}")
+        say(f"scopeframe: the input can't be read: {e}")
         return 1
     ladder = settings.ladder()
     try:
         output = rename_text(code, ladder, settings.context_size, Observer(args.verbose, args.progress, ladder))
     except ParseError as e:
-        say(f"scopeframe: parse error: {e}")
+        say(f"scopeframe: the source can't be parsed: {e}")
         return 2
     try:
         if args.output:
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
             sys.stdout.buffer.write(output.encode())
             sys.stdout.buffer.flush()
     except OSError as e:
-        say(f"scopeframe: failed to write output: {e}")
+        say(f"scopeframe: the output can't be written: {e}")
         return 1
     return 0
 

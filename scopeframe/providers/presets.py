@@ -53,7 +53,7 @@ class JsonMode(Enum):
         for x in cls:
             if x.value == text:
                 return x
-        raise ValueError(f"unknown json-mode '{text}'. Valid values: {', '.join(x.value for x in cls)}")
+        raise ValueError(f"{text!r} is no JSON mode; there are {', '.join(x.value for x in cls)}")
 
 
 STRATEGY_OF = {JsonMode.JSON_SCHEMA: JsonSchema, JsonMode.NATIVE: MessagesNative, JsonMode.FORCED_TOOL: ForcedTool, JsonMode.NUDGED_TOOL: NudgedTool, JsonMode.PROMPT: PromptedJson}
@@ -63,9 +63,9 @@ DEFAULT_LADDER = {CHAT: (JsonSchema, ForcedTool, PromptedJson), MESSAGES: (Messa
 def mode_error(mode: JsonMode, kind: str) -> str | None:
     """Why a mode doesn't go with a kind of service; None if it does."""
     if mode is JsonMode.NATIVE and kind == CHAT:
-        return "--json-mode anthropic-native is only valid for the `anthropic` subcommand"
+        return f"JSON mode {mode.value} needs the Messages API (preset anthropic)"
     if mode not in (JsonMode.NATIVE, JsonMode.LADDER) and kind == MESSAGES:
-        return f"--json-mode {mode.value} is not valid for the `anthropic` subcommand; use anthropic-native or ladder"
+        return f"JSON mode {mode.value} isn't for the Messages API; it takes {JsonMode.NATIVE.value} or {JsonMode.LADDER.value}"
     return None
 
 

@@ -16,7 +16,7 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_id"), "content")
     text = F.col("content").cast("string")
     if strict:
-        text = F.when(F.is_valid_utf8(text), text).otherwise(F.raise_error(F.concat(F.lit("stream did not contain valid UTF-8: "), F.col("source_id"))))
+        text = F.when(F.is_valid_utf8(text), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source_id"))))
     else:
         text = F.make_valid_utf8(text)
     return rows.select("source_id", text.alias("code"))
