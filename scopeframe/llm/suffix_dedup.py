@@ -12,8 +12,8 @@
 5. Marked windows go back to all occurrences, and become byte ranges of each document.
 
 Defined results: a null text is empty; texts under 200 bytes lose nothing; matches never cross documents; a document's own
-repeats count, overlapping ones too; rows that repeat an id are separate documents, each of which repeats the other; they
-share an id's row in the joins by the text's place, so equal rows give equal results; a null id is a document too; an empty
+repeats count, overlapping ones too; rows that repeat an id and a text are separate documents that repeat each other; an id
+with different texts is not expected, and its texts share their ranges; null ids count as one id of this kind; an empty
 table gives an empty result; further columns are not read.
 """
 
@@ -94,7 +94,7 @@ def context_hash(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndar
 
 
 def anchor_rows(docs: DataFrame, hashes_only: bool) -> DataFrame:
-    """h; or h, c, _id, _n (bytes of the text), place, lo and hi."""
+    """h; or h, c, _id, lo and hi (first and last owned window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
