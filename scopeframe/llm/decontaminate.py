@@ -34,8 +34,10 @@ PASSAGE, STRIDE = 128, 64
 #: Share of an item's own score that a passage must reach.
 SHARE = 0.5
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 8
 INDEX_BYTES = 16 << 20
+#: Block maxima are looked up in a matrix of up to so many entries, else in sorted keys.
+DENSE = 4 << 20
 
 
 def question_words(text: str) -> int:
@@ -74,6 +76,8 @@ class Index:
     essential_blocks: np.ndarray
     sieve: np.ndarray  # bits of the essential hashes
     runs: list[tuple[int, np.ndarray, np.ndarray]]  # of each item: words a run, runs of the question, runs of the answer
+    dense: np.ndarray | None  # terms x blocks of block maxima, if that is small
+    size: int  # items of a block
 
     @property
     def blocks(self) -> int:
@@ -109,6 +113,10 @@ def build(ids: list, texts: list[str], frequency: dict[int, int], count: int, me
     essential, start = np.unique(chosen // max(blocks, 1), return_index=True)
     sieve = np.zeros(1 << 20, bool)
     sieve[(terms[essential] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    dense = None
+    if terms.size * blocks <= DENSE:
+        dense = np.zeros((terms.size, blocks))
+        dense[top_keys // max(blocks, 1), top_keys % max(blocks, 1)] = tops
     runs = []
     for i, text in enumerate(texts):
         mine = h[rows == i]
@@ -119,7 +127,7 @@ def build(ids: list, texts: list[str], frequency: dict[int, int], count: int, me
         grams, _ = vec.shingles(mine, np.zeros(len(mine), np.int64), k)
         q, begin = question_words(text), np.arange(len(grams))
         runs.append((k, np.unique(grams[begin < max(q, 1)]), np.unique(grams[begin + k > q])))
-    return Index(np.array(ids), terms, key, impact, top_keys, tops, thresholds, least, essential, np.r_[start, chosen.size], chosen % max(blocks, 1), sieve, runs)
+    return Index(np.array(ids), terms, key, impact, top_keys, tops, thresholds, least, essential, np.r_[start, chosen.size], chosen % max(blocks, 1), sieve, runs, dense, BLOCK)
 
 
 def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,13 +187,21 @@ def retrieve(index: Index, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     holds_p, holds_t = holds // index.terms.size, holds % index.terms.size
     bounds = np.searchsorted(holds_p, np.arange(wanted.size + 1))
     p = np.searchsorted(wanted, passage)
-    owner, k = expand(bounds[p + 1] - bounds[p])
-    term = holds_t[bounds[p[owner]] + k]
-    bound = np.bincount(owner, found_in(index.top_keys, index.tops, term * index.blocks + block[owner]), p.size)
+    if index.dense is not None:
+        # all blocks' bounds of a passage at once
+        bound = np.empty(p.size)
+        for a, b in vec.slices(bounds, 1 << 17):
+            sums = np.add.reduceat(index.dense[holds_t[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a], 0)
+            lo, hi = np.searchsorted(p, [a, b])
+            bound[lo:hi] = sums[p[lo:hi] - a, block[lo:hi]]
+    else:
+        owner, k = expand(bounds[p + 1] - bounds[p])
+        term = holds_t[bounds[p[owner]] + k]
+        bound = np.bincount(owner, found_in(index.top_keys, index.tops, term * index.blocks + block[owner]), p.size)
     alive = np.flatnonzero(bound >= index.least[block] - 1e-9)
     n = index.items.size
-    inside, k = expand(np.minimum(BLOCK, n - block[alive] * BLOCK))
-    item, p = block[alive][inside] * BLOCK + k, p[alive][inside]
+    inside, k = expand(np.minimum(index.size, n - block[alive] * index.size))
+    item, p = block[alive][inside] * index.size + k, p[alive][inside]
     owner, k = expand(bounds[p + 1] - bounds[p])
     term = holds_t[bounds[p[owner]] + k]
     score = np.bincount(owner, found_in(index.keys, index.impacts, term * n + item[owner]), p.size)
@@ -233,7 +249,8 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else rows
         known = frequency if parts == 1 else frequency.join(mine.mapInArrow(terms, "term long, length double").select("term").distinct(), "term", "left_semi")
-        items = sorted((x["item_id"], x["text"]) for x in mine.toLocalIterator())
+        # items of like length share a block, so that its least threshold is near all of theirs
+        items = sorted(((x["item_id"], x["text"]) for x in mine.toLocalIterator()), key=lambda x: (len(x[1]), x))
         yield build([x[0] for x in items], [x[1] for x in items], {x["term"]: x["df"] for x in known.toLocalIterator()}, count, total / max(count, 1))
 
 

@@ -125,10 +125,13 @@ def test_decontamination(spark, odd, none, monkeypatch):
     assert decontaminate.drop_contaminated(none, bench).count() == 0
 
 
-def test_wand_retrieves_all_above_threshold():
-    """Pruned retrieval against plain scores."""
+@pytest.mark.parametrize("dense", [4 << 20, 0])
+def test_wand_retrieves_all_above_threshold(dense, monkeypatch):
+    """Pruned retrieval against plain scores, with block maxima in a matrix and in sorted keys."""
     import pyarrow as pa
 
+    monkeypatch.setattr(decontaminate, "DENSE", dense)
+
     rng = random.Random(7)
     text = lambda n: " ".join(f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(n))
     texts = [text(rng.randint(1, 80)) for _ in range(50)]
