@@ -4,8 +4,12 @@ Lines are parted by line feeds; those of equal bytes are one distinct line, plac
 distinct lines of LEAST bytes or more are near if their bytes are within EDITS edits. An indexed line is split into EDITS + 1
 segments, one of which a near line must hold unchanged; a line probes the substrings of its own that may equal a segment of a
 line of its length or up to EDITS less, by the multi-match-aware choice of starts. Candidates must hold all but EDITS of
-PIECES finer segments near their places, and what is left is verified by a banded bit-parallel automaton: of each number of
-edits, a word with a bit for each diagonal.
+PIECES finer segments near their places and have nearly the same letters, and what is left is verified by a banded bit-parallel
+automaton: of each number of edits, a word with a bit for each diagonal.
+
+A key that more than HOT rows share doesn't give pairs. Its indexed and its probing lines are cut into blocks by hash, and pairs
+of blocks are verified inside a row. So a family of many variants of a line is split over many tasks, and only near pairs become
+rows.
 
 A line is dropped if it isn't the first of its copies, or is near an earlier line. So the decision on a line depends on earlier
 lines only, and no chains are followed.
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 EDITS, LEAST, PIECES = 2, 24, 8
+#: Rows of a key from which its lines go to blocks, and lines of a block.
+HOT, BLOCK = 48, 64
+LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,8 +93,7 @@ def within(s: Column, t: Column, edits: int) -> Column:
         m = F.lit(0)
         for k in range(2 * edits + 1):
             m = m + F.when(F.substring(s, j + (k - edits), F.lit(1)) == c, 1 << k).otherwise(0)
-        m = F.struct(m.alias("m"), acc.alias("a"))
-        return F.element_at(F.transform(F.array(m), lambda x: _words(x, edits, mask)), 1)
+        return let(F.struct(m.alias("m"), acc.alias("a")), lambda x: _words(x, edits, mask))
 
     last = F.aggregate(F.sequence(F.lit(1), F.octet_length(t)), first, step)
     at = F.octet_length(s) - F.octet_length(t) + edits
@@ -107,30 +113,101 @@ def _words(x: Column, edits: int, mask: int) -> Column:
     return F.struct(*(w.alias(f"r{d}") for d, w in enumerate(out)))
 
 
-def near_pairs(distinct: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b): ids of near distinct lines. ``distinct``: id, line."""
+def profile(line: Column) -> Column:
+    """Counts of the letters, of other bytes that end a character, and of all bytes."""
+    text = F.lower(line.cast("string"))
+    n = F.length(text)
+    counts = [n - F.length(F.translate(text, c, "")) for c in LETTERS]
+    return F.array(*counts, F.length(F.translate(text, LETTERS, "")))
+
+
+def alike(p: Column, q: Column, edits: int) -> Column:
+    """Whether two profiles may belong to lines within ``edits``: an edit changes the counts by two at most."""
+    return F.aggregate(F.zip_with(p, q, lambda a, b: F.abs(a - b)), F.lit(0), lambda t, x: t + x) <= 2 * edits
+
+
+def middle(s: Column, t: Column) -> tuple[Column, Column]:
+    """Both lines without the leading and trailing PIECES-ths of the shorter one that they share; distances stay."""
+    n = F.least(F.octet_length(s), F.octet_length(t))
+    ns, nt = F.octet_length(s), F.octet_length(t)
+    head = tail = F.lit(0)
+    same_head = same_tail = F.lit(True)
+    half = PIECES // 2
+    for i in range(half):
+        a, b = cut(n, i, PIECES), cut(n, i + 1, PIECES)
+        same_head = same_head & (F.substring(s, a + 1, b - a) == F.substring(t, a + 1, b - a))
+        same_tail = same_tail & (F.substring(s, ns - b + 1, b - a) == F.substring(t, nt - b + 1, b - a))
+        head, tail = F.when(same_head, b).otherwise(head), F.when(same_tail, b).otherwise(tail)
+    return tuple(F.substring(x, head + 1, F.octet_length(x) - head - tail) for x in (s, t))
+
+
+def let(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often ``make`` names it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def near(s: Column, t: Column, edits: int) -> Column:
+    """Of a shorter line and one not shorter: whether they are within ``edits``."""
+    parts = middle(s, t)
+    checked = let(F.struct(parts[0].alias("s"), parts[1].alias("t")), lambda x: within(x["s"], x["t"], edits))
+    return F.when(holds_pieces(s, t, edits), checked).otherwise(False)
+
+
+def pairs_of_blocks(lines: DataFrame, rows: DataFrame, crowded: DataFrame, edits: int) -> DataFrame:
+    """(a, b): near pairs that share a crowded key. ``lines``: lid, line; ``rows``: lid, side, k; ``crowded``: k and the lines
+    (n0, n1) of either side."""
+    parts = F.ceil(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
+    members = rows.join(crowded, "k").select("k", "side", "lid", F.pmod(F.xxhash64("lid"), parts).cast("int").alias("part"))
+    members = common.materialise(members, "block-members")
+    wanted = members.select(F.col("lid").alias("w")).distinct()
+    texts = lines.join(wanted, F.col("lid") == F.col("w"), "left_semi").withColumn("p", profile(F.col("line")))
+    texts = common.materialise(texts, "block-lines")
+    blocks = members.join(texts, "lid").groupBy("k", "side", "part").agg(F.collect_list(F.struct("lid", "line", "p")).alias("x"))
+    blocks = common.materialise(blocks, "line-blocks")
+    met = blocks.where("side = 0").select("k", F.col("x").alias("x0")).join(blocks.where("side = 1").select("k", "x"), "k")
+    # the shorter line is the indexed one; of two lines of one length either order would do
+    once = lambda a, b: (F.octet_length(a["line"]) < F.octet_length(b["line"])) | (F.octet_length(a["line"]) == F.octet_length(b["line"])) & (a["lid"] < b["lid"])
+    found = F.flatten(
+        F.transform("x0", lambda a: F.transform(F.filter("x", lambda b: F.when(once(a, b) & alike(a["p"], b["p"], edits), near(a["line"], b["line"], edits)).otherwise(False)), lambda b: F.struct(F.least(a["lid"], b["lid"]).alias("a"), F.greatest(a["lid"], b["lid"]).alias("b"))))
+    )
+    return met.select(F.inline(found))
+
+
+def near_pairs(distinct: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(a, b): numbers of near distinct lines. ``distinct``: lid, line."""
     long = distinct.where(F.octet_length("line") >= least)
-    index = long.select("id", F.explode(index_keys(edits)).alias("k"))
-    probes = long.select(F.col("id").alias("p"), F.explode(probe_keys(edits)).alias("k"))
-    met = index.join(probes, "k").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    both = F.array(F.struct(F.lit(0).cast("byte").alias("side"), index_keys(edits).alias("k")), F.struct(F.lit(1).cast("byte").alias("side"), probe_keys(edits).alias("k")))
+    keys = long.select("lid", F.inline(both)).select("lid", "side", F.explode("k").alias("k"))
+    # a key is of use if some line has it in its index and another probes it; the index's own lines probe it too
+    counts = keys.groupBy("k").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where(f"n0 > 0 and n0 + n1 > {hot}")
+    crowded = common.materialise(counts, "crowded-keys")
+    rows = keys.join(crowded, "k", "left_anti")
+    index, probes = rows.where("side = 0").select("k", F.col("lid").alias("i")), rows.where("side = 1").select("k", F.col("lid").alias("p"))
+    met = index.join(probes, "k").where("i <> p").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
     met = common.materialise(met, "line-candidates")
     wanted = met.select(F.col("a").alias("w")).union(met.select("b")).distinct()
-    texts = common.materialise(long.join(wanted, F.col("id") == F.col("w"), "left_semi"), "candidate-lines")
-    both = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
-    held = both.where(F.when(F.octet_length("s") <= F.octet_length("t"), holds_pieces(F.col("s"), F.col("t"), edits)).otherwise(holds_pieces(F.col("t"), F.col("s"), edits)))
-    return held.where(within(F.col("s"), F.col("t"), edits)).select("a", "b")
+    texts = common.materialise(long.join(wanted, F.col("lid") == F.col("w"), "left_semi"), "candidate-lines")
+    pair = met.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("t")), "b")
+    shorter = F.octet_length("s") <= F.octet_length("t")
+    pair = pair.select("a", "b", F.when(shorter, F.col("s")).otherwise(F.col("t")).alias("s"), F.when(shorter, F.col("t")).otherwise(F.col("s")).alias("t"))
+    found = pair.where(near(F.col("s"), F.col("t"), edits)).select("a", "b")
+    if crowded.isEmpty():
+        return found
+    return found.unionByName(pairs_of_blocks(long, keys, crowded, edits)).distinct()
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, _row, no and fate (kept, copy or near) of each line."""
     lines = lines_of(docs)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "no")
-    distinct = common.materialise(lines.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")), "distinct-lines")
-    pairs = common.materialise(near_pairs(distinct, edits, least), "near-lines")
-    firsts = common.materialise(distinct.select("id", "first"), "first-lines")
-    one = pairs.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    later = common.materialise(one.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "near-later")
-    about = common.materialise(firsts.join(later.withColumn("near", F.lit(True)), "id", "left").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-fates")
+    distinct = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("lid", F.monotonically_increasing_id())
+    distinct = common.materialise(distinct, "distinct-lines")
+    pairs = common.materialise(near_pairs(distinct.select("lid", "line"), edits, least), "near-lines")
+    firsts = distinct.select("lid", "id", "first")
+    one = pairs.join(firsts.select(F.col("lid").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("lid").alias("b"), F.col("first").alias("fb")), "b")
+    later = common.materialise(one.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct(), "near-later")
+    about = firsts.join(later.withColumn("near", F.lit(True)), "lid", "left").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    about = common.materialise(about, "line-fates")
     fate = F.when(F.col("_row").eqNullSafe(F.col("first._row")) & (F.col("no") == F.col("first.no")), F.when(F.col("near"), "near").otherwise("kept")).otherwise("copy")
     return lines.drop("line").join(about, "id").select("doc_id", "_row", "no", fate.alias("fate"))
 
