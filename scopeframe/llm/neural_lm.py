@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 END = np.uint64(0x5D3C1A7F00E1D2B9)
-HEAD, TOP, TAILS, SIZE = 1 << 18, 767, 256, 24
+HEAD, TOP, TAILS, SIZE = 1 << 17, 767, 256, 24
 CLASSES = TOP + 1 + TAILS
 #: Share of positions that a round trains on, rounds, tokens a step, noise samples a step, learning rate.
 SHARE, ROUNDS, BATCH, NOISE, RATE = 0.5, 2, 512, 96, 0.1
 #: Distinct words that a counting task holds at once.
-HELD = 500_000
+HELD = 200_000
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         buf, offs = vec.flat(batch.column("text"))
-        for a, b in vec.slices(offs, 1 << 20):
+        for a, b in vec.slices(offs, 1 << 19):
             yield batch.slice(a, b - a), *tokens(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
 
 
@@ -112,9 +112,23 @@ class Vocabulary:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def head_count(counts: DataFrame) -> int:
+    """The least count such that at most HEAD words occur as often. Counts are binned, so that few numbers reach the driver;
+    a bin is taken whole or not at all."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    bins = counts.groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    total, least = 0, 1 << 62
+    for x in sorted(bins, key=lambda x: -x["b"]):
+        total += x["n"]
+        if total > HEAD:
+            break
+        least = x["least"]
+    return least
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The end is class TOP, other frequent words are classes 0 ... TOP - 1, tails follow."""
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    head = counts.where((F.col("c") >= head_count(counts)) | (F.col("h") == int(END.view(np.int64)))).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h, c, tail = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["tail"].to_numpy(np.int64)
     cls = TOP + 1 + tail
     words = np.flatnonzero(h != END)[:TOP]
@@ -247,7 +261,7 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], now=now, round_=round_) -> Iterator[pa.RecordBatch]:
             hashes, classes, noise = sent.value
-            places = vec.Places(hashes)
+            places = vec.Places(hashes, 19)
             own = Model.of(now.value.copy())
 
             def parts():
@@ -274,7 +288,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, (s1, s2, z) = sent.value
-        places = vec.Places(vocab.hashes)
+        places = vec.Places(vocab.hashes, 19)
         head_counts = vocab.counts.astype(float)
         head_base, head_inner = vocab.base(head_counts), vocab.inner(head_counts, vocab.classes)
         for part, h, tail, rows in pieces(batches):
@@ -309,9 +323,9 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
     # bounded by CLASSES entries each
     tokens_ = F.array(*(F.lit(float(x)) for x in vocab.class_tokens[TOP + 1 :]))
     words_ = F.array(*(F.lit(float(x)) for x in vocab.class_words[TOP + 1 :]))
-    at = F.col("cls") - TOP
+    at = F.greatest(F.col("cls") - TOP, F.lit(1))
     c = F.coalesce("c", F.lit(0))
-    inner = F.log10((c + 0.5) / (F.element_at(tokens_, at) + 0.5 * (F.element_at(words_, at) + 1)))
+    inner = F.when(F.col("cls") <= TOP, 0.0).otherwise(F.log10((c + 0.5) / (F.element_at(tokens_, at) + 0.5 * (F.element_at(words_, at) + 1))))
     base = F.log10((c + 0.5) / F.lit(vocab.total + 0.5 * (vocab.distinct + 1)))
     extra = rare.join(counts.select("h", "c"), "h", "left").groupBy("_row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * base).alias("b"), F.sum(F.col("times") * inner).alias("s")
