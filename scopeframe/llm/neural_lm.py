@@ -6,8 +6,9 @@ a word's share of its class comes from smoothed counts. Noise-contrastive estima
 batched matrix products give each context's normaliser, so that token probabilities sum to one.
 
 1. Counts of all training tokens (by 64-bit hash) are summed up before and after one shuffle.
-2. Rounds of parameter mixing: each task trains on its own documents from the same start, at a fixed share of all
-   positions, and the parameters are averaged by tokens. A task sends CLASSES * SIZE numbers, however much it reads.
+2. Rounds of parameter mixing: each task trains on its own documents from the same start, and the parameters are averaged
+   by tokens. The rounds part all positions: each is trained on in one round. A task sends CLASSES * SIZE numbers, however
+   much it reads.
 3. Scoring is one scan with the HEAD most frequent words' counts broadcast (a bounded table). Other words go through a join
    with the full counts. No word is dropped.
 
@@ -31,8 +32,8 @@ from . import common, vec
 END = np.uint64(0x5D3C1A7F00E1D2B9)
 HEAD, TOP, TAILS, SIZE = 1 << 17, 767, 256, 24
 CLASSES = TOP + 1 + TAILS
-#: Share of positions that a round trains on, rounds, tokens a step, noise samples a step, learning rate.
-SHARE, ROUNDS, BATCH, NOISE, RATE = 0.5, 2, 512, 96, 0.1
+#: Rounds, tokens a step, noise samples a step, learning rate.
+ROUNDS, BATCH, NOISE, RATE = 2, 512, 96, 0.1
 #: Distinct words that a counting task holds at once.
 HELD = 200_000
 
@@ -251,6 +252,16 @@ def class_of(places: vec.Places, classes: np.ndarray, h: np.ndarray, tail: np.nd
     return np.where(h == END, TOP, cls), at
 
 
+def round_of(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The one round that trains on each position. It is told by the text and the place in it alone, so rounds agree on it
+    however a scan deals its rows."""
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    size = np.diff(np.r_[first, h.size])
+    key = vec.mix(h + (np.arange(h.size) - np.repeat(first, size)).astype(np.uint64) * vec.M3)
+    text = np.repeat(np.add.reduceat(key, first), size)
+    return (vec.mix(key + text) >> np.uint64(40)) % np.uint64(ROUNDS)
+
+
 def fit(docs: DataFrame, vocab: Vocabulary) -> Model:
     spark = docs.sparkSession
     noise = (vocab.class_tokens + 1.0) / (vocab.class_tokens + 1.0).sum()
@@ -268,7 +279,7 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> Model:
                 for _, h, tail, rows in pieces(batches):
                     cls, _ = class_of(places, classes, h, tail)
                     two, one = contexts(cls, rows)
-                    chosen = (vec.mix(h + np.arange(h.size, dtype=np.uint64) * vec.M3 + np.uint64(round_)) >> np.uint64(40)) < np.uint64(int(SHARE * (1 << 24)))
+                    chosen = round_of(h, rows) == np.uint64(round_)
                     yield two[chosen], one[chosen], cls[chosen]
 
             seen = train(own, noise, parts(), RATE / (1 + round_))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,30 @@ def test_lm_head_bound_changes_nothing(spark, monkeypatch):
     assert score() == whole
 
 
+def test_lm_trains_on_each_position_once(spark, monkeypatch):
+    """Whatever batches the rounds see. Words occur once each, so that a class tells its position."""
+    texts = [" ".join(f"w{i}" for i in range(a, a + 35)) for a in range(0, 700, 35)]
+    h, tail, _ = neural_lm.tokens(*vec.flat(pa.array(texts)))
+    words = h[h != neural_lm.END]
+    places = np.argsort(words)
+    vocab = neural_lm.Vocabulary(words[places], np.ones(700, np.int64), np.arange(700), np.ones(neural_lm.CLASSES), np.ones(neural_lm.CLASSES), 720, 701)
+    seen, rounds = Counter(), []
+
+    class Docs:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            k = 3 + 4 * len(rounds)
+            order = texts if not rounds else texts[::-1]
+            rounds.append(list(run(iter([pa.RecordBatch.from_arrays([pa.array(order[a : a + k])], ["text"]) for a in range(0, len(texts), k)]))))
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(neural_lm, "train", lambda own, noise, parts, rate: [seen.update(y.tolist()) for *_, y in parts] and 0)
+    neural_lm.fit(Docs(), vocab)
+    assert len(rounds) == neural_lm.ROUNDS
+    assert seen == Counter({**dict.fromkeys(range(700), 1), neural_lm.TOP: len(texts)})
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(3)
     noise = rng.random(neural_lm.CLASSES)
