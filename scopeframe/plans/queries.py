@@ -15,6 +15,8 @@ from .rename import Renaming, rename
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries that no SQL gives; tests hold them against plain Python.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
@@ -250,6 +252,15 @@ def to_identifier_titles(spark, sf_dir):
     return rows.select("doc_id", names.to_identifier(F.substring("text", 1, 40)).alias("name"))
 
 
+def to_identifier_texts(spark, sf_dir):
+    """The whole text of every document as a name; a null text has a null name. DuckDB's upper case differs beyond ASCII, so
+    that ``to_identifier_titles``, which has SQL, holds ASCII starts only."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.to_identifier(F.col("text")).alias("name"))
+
+
+WITHOUT_SQL["to_identifier_texts"] = to_identifier_texts
+
+
 @query(f"select n_nationkey::bigint as n_nationkey, lower(n_name) as name, lower(n_name) in ({RESERVED_SQL}) as reserved from nation union all select -r_regionkey::bigint - 1, case r_regionkey when 0 then 'static' when 1 then 'class' when 2 then 'let' when 3 then 'async' else 'foo' end, r_regionkey < 3 from region")
 def reserved_words(spark, sf_dir):
     said = F.when(F.col("r_regionkey") == 0, "static").when(F.col("r_regionkey") == 1, "class").when(F.col("r_regionkey") == 2, "let").when(F.col("r_regionkey") == 3, "async").otherwise("foo")

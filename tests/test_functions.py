@@ -29,6 +29,28 @@ def test_to_identifier(spark):
     assert dict(zip(SAFE, out, strict=True)) == SAFE
 
 
+def plain_identifier(raw):
+    out, up = "", False
+    for ch in raw:
+        if ch in ". -":
+            up = out != ""
+        elif ch == "$" or ("a" + ch).isidentifier():
+            out, up = out + (ch.upper() if up else ch), False
+    out = out or "_"
+    return "_" + out if out[0] in "0123456789" or out in names.RESERVED else out
+
+
+def test_to_identifier_reads_whole_texts(spark, tmp_path):
+    """No document is left out, and nothing of a text."""
+    import __spark_entry__ as entry
+
+    texts = [*SAFE, "Été à l'école.élève - über ßtraße año " * 30, "ascii words only, " * 20 + "dann größer. ähnlich", "x" * 5000 + " end", "a" * 39 + ".é", "12 日本. 語", None, "\n - .\u200d"]
+    rows = list(enumerate(texts)) + [(None, "no id"), (3, "repeated id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in entry.queries()["to_identifier_texts"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((i, None if t is None else plain_identifier(t)) for i, t in rows), key=str)
+
+
 def test_reserved(spark):
     words = {"static": True, "class": True, "let": True, "foo": False, "_static": False, "async": False}
     assert column(spark, [(x,) for x in words], "x string", lambda: names.is_reserved(F.col("x"))) == list(words.values())
