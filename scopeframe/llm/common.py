@@ -39,6 +39,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """_row (a key of its own for each row, fixed as the table is written) and _doc, all columns of ``docs``."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "keyed")
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables written so far. Call it when no returned DataFrame is needed any more."""
     jvm = spark.sparkContext._jvm

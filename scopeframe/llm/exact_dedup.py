@@ -5,8 +5,8 @@ that follow it in the text, is one term of the sum, so chunks of one huge text c
 Texts of equal fingerprints are then compared chunk by chunk; should they differ, SHA-256 parts them.
 
 Defined results: a null text is empty; empty texts equal one another; a text of white space only is one space; a null id
-comes after all others; rows that repeat an id and a text are copies like others (the stage keeps one of them); an empty
-table gives an empty result; further columns are not read.
+comes after all others; rows that repeat an id and a text are copies like others (the stage keeps one of them); different
+texts under one id, or without one, are apart; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, vec
@@ -80,9 +80,10 @@ def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(f1), pa.array(f2)], ["doc_id", "_row", "_sha", "_bytes", "_f1", "_f2"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (tells repeated rows apart), _sha, _bytes, _f1, _f2 for each row."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), normalised().cast("binary").alias("_t"))
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, _row (``row``, or what tells repeated rows apart), _sha, _bytes, _f1, _f2 for each row."""
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select("doc_id", row.alias("_row"), normalised().cast("binary").alias("_t"))
     rows = rows.select("doc_id", "_row", F.sha2("_t", 256).alias("_sha"), F.octet_length("_t").cast("long").alias("_bytes"), "_t")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     terms = chunked(rows, "doc_id", "_row", "_sha", "_bytes").mapInArrow(
@@ -121,8 +122,13 @@ def differing(docs: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFram
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and _row_kept, which is true for
     one row of each group only."""
+    return row_groups(docs).drop("_row")
+
+
+def row_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """:func:`exact_groups` with _row, which is ``row`` if given."""
     key = ["_bytes", "_f1", "_f2"]
-    marks = fingerprints(docs)
+    marks = fingerprints(docs, row)
     classes = common.materialise(_classes(marks, key), "classes")
     bad = common.materialise(differing(docs, marks, classes), "differing")
     if not bad.isEmpty():
@@ -136,16 +142,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         same.alias("kept"),
         F.col("_sha").alias("text_sha256"),
         (same & (F.col("_row") == F.col("_keep._row"))).alias("_row_kept"),
+        "_row",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without copies, with its own columns."""
-    groups = common.materialise(exact_groups(docs), "groups")
-    kept = groups.where("_row_kept").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = groups.where("kept and not _row_kept")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    keyed = common.keyed(docs)
+    groups = row_groups(keyed.select("_doc.doc_id", "_doc.text", "_row"), F.col("_row"))
+    kept = common.materialise(groups.where("_row_kept").select("_row"), "kept")
+    return keyed.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

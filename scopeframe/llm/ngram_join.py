@@ -13,7 +13,7 @@ Words are runs of bytes other than white space and ASCII punctuation, with A-Z l
 
 Defined results: null and empty texts, and those without words, have the empty set, form one class and have no links; a text
 of fewer than five words has one run of all its words; rows that repeat an id and a text are of one class; a null id comes
-after all others; an empty table gives an empty result; further columns are not read.
+after all others, and rows without an id, or of different texts under one id, are documents of their own; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from . import common, graph, vec
 WORDS, SIMILARITY, ROWS, RECALL = 5, 0.8, 6, 0.999
 #: The most members and set elements of a block; a single larger set is a block of its own.
 BLOCK_MEMBERS, BLOCK_ELEMENTS = 256, 200_000
-NO_ID = (1 << 63) - 1
 
 
 def bands_for(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -75,7 +74,7 @@ def band_hashes(h: np.ndarray, rows: np.ndarray, count: int, bands: int, n: int)
 
 
 def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """_id, c1, c2 (the set's fingerprints), n (its size) and bands for each row."""
+    """_row, _id, c1, c2 (the set's fingerprints), n (its size) and bands for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +86,9 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 sizes = np.bincount(at, minlength=count).astype(np.int64)
                 bands_ = band_hashes(h, at, count, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (count + 1) * bands, bands, dtype=np.int32)), pa.array(bands_.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, count), pa.array(c1), pa.array(c2), pa.array(sizes), lists], ["_id", "c1", "c2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, count) for c in ("_row", "_id")), pa.array(c1), pa.array(c2), pa.array(sizes), lists], ["_row", "_id", "c1", "c2", "n", "bands"])
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.materialise(ids.mapInArrow(run, "_id long, c1 long, c2 long, n long, bands array<long>"), "signatures")
+    return common.materialise(docs.mapInArrow(run, "_row long, _id long, c1 long, c2 long, n long, bands array<long>"), "signatures")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -103,11 +101,11 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def blocks(classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """rep, c1, and a row for each pair of blocks that the class is part of: root, kind, band, p, q, side."""
+    """rep, and a row for each pair of blocks that the class is part of: root, kind, band, p, q, side."""
     step = -math.log(similarity)
     # a hair is added so that rounding never parts sizes at the very ratio by more than one band
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step * (1 + 1e-9))).cast("int")
-    members = classes.select("rep", "c1", "n").join(roots, F.col("rep") == F.col("node")).select("rep", "c1", "n", "root", band.alias("band"))
+    members = classes.select("rep", "n").join(roots, F.col("rep") == F.col("node")).select("rep", "n", "root", band.alias("band"))
     members = common.materialise(members, "members")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int")
     counted = members.groupBy("root", "band").agg(parts.alias("parts"), F.count("*").alias("size"))
@@ -127,7 +125,7 @@ def blocks(classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
         F.transform(upto(part(1)), lambda s: key(1, F.col("band"), F.col("salt"), s, F.lit(0))),
         F.transform(upto(part(-1)), lambda s: key(1, F.col("band") - 1, s, F.col("salt"), F.lit(1))),
     )
-    return rows.withColumn("salt", salt).select("rep", "c1", "root", F.explode(keys).alias("k")).select("rep", "c1", "root", "k.*")
+    return rows.withColumn("salt", salt).select("rep", "root", F.explode(keys).alias("k")).select("rep", "root", "k.*")
 
 
 def intersections(h: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
@@ -159,15 +157,6 @@ def verify(similarity: float, words: int):
         buf, offs = vec.flat(table["text"])
         reps, side = table["rep"].to_numpy(), table["side"].to_numpy()
         h, at = doc_sets(buf, offs, words)
-        c1, _ = set_keys(h, at, len(reps))
-        # of rows that repeat an id, the first with the class's own set stays
-        right = np.flatnonzero(c1 == table["c1"].to_numpy())
-        _, first = np.unique(reps[right], return_index=True)
-        keep = np.zeros(len(reps), bool)
-        keep[right[first]] = True
-        renumber = np.cumsum(keep) - 1
-        some = keep[at]
-        h, at, reps, side = h[some], renumber[at[some]], reps[keep], side[keep]
         n = len(reps)
         sizes = np.bincount(at, minlength=n).astype(np.float64)
         common_ = intersections(h, at, n).astype(np.float64)
@@ -193,33 +182,42 @@ def verify(similarity: float, words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the least id of the texts with the same set), class_size,
-    n_links (how many other classes the class is linked to) and group_id (the least id of those joined by links)."""
+def near_rows(keyed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """:func:`near_duplicates` of a table of :func:`common.keyed`, with _row and _head, the row that stands for the group.
+
+    Classes and links are told by rows, as ids can be null or repeated."""
+    docs = keyed.select("_row", F.col("_doc.doc_id").cast("long").alias("_id"), F.coalesce("_doc.text", F.lit("")).alias("text"))
     marks = signatures(docs, words, rows, bands_for(similarity, rows, recall))
     key = ["c1", "c2", "n"]
-    classes = marks.groupBy(*key).agg(F.min("_id").alias("rep"), F.count("*").alias("class_size"), F.first("bands").alias("bands"))
-    classes = common.materialise(classes, "set-classes")
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+    classes = marks.groupBy(*key).agg(least.alias("least"), F.count("*").alias("class_size"), F.first("bands").alias("bands"))
+    classes = common.materialise(classes.withColumn("rep", F.col("least._row")), "set-classes")
     pairs = blocks(classes, candidates(classes), similarity)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = pairs.join(texts, F.col("rep") == F.col("_id")).drop("_id")
+    met = pairs.join(docs.select("_row", "text"), F.col("rep") == F.col("_row")).drop("_row")
     found = met.groupBy("root", "kind", "at", "p", "q").applyInArrow(verify(similarity, words), "rep long, links long, root long")
     found = common.materialise(found, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = graph.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     about = classes.drop("bands").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    about = common.materialise(about.select(*key, "rep", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("group")), "groups")
-    id_of = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return marks.select("_id", *key).join(about, key).select(
-        id_of("_id").alias("doc_id"), id_of("rep").alias("class_id"), "class_size", "n_links", id_of("group").alias("group_id")
+    about = common.materialise(about.select(*key, "least", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("root")), "groups")
+    heads = common.materialise(about.groupBy("root").agg(F.min("least").alias("head")), "heads")
+    about = common.materialise(about.join(heads, "root").drop("root"), "headed")
+    return marks.select("_row", "_id", *key).join(about, key).select(
+        "_row", F.col("head._row").alias("_head"), F.col("_id").alias("doc_id"), F.col("least._id").alias("class_id"), "class_size", "n_links", F.col("head._id").alias("group_id")
     )
 
 
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (the least id of the texts with the same set), class_size,
+    n_links (how many other classes the class is linked to) and group_id (the least id of those joined by links)."""
+    return near_rows(common.keyed(docs.select("doc_id", "text")), **settings).drop("_row", "_head")
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each group, that of the least id; its own columns."""
-    kept = common.materialise(near_duplicates(docs, **settings).where("doc_id <=> group_id").groupBy(F.col("doc_id").alias("_kept_id")).count(), "kept")
-    out = docs.join(kept.select("_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    keyed = common.keyed(docs)
+    kept = common.materialise(near_rows(keyed, **settings).where("_row = _head").select("_row"), "kept")
+    return keyed.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,26 @@ def test_near_stage(odd, none):
     assert ngram_join.keep_one(none).count() == 0
 
 
+#: Different texts without an id and under one id, a repeated row, and near copies without an id, of each other and of an id.
+APART = [(None, "a b c d e f"), (None, "g h i j k l"), (7, "m n o p q r"), (7, "s t u v w x"), (8, "same row"), (8, "same row")]
+NEAR = [(None, " ".join(f"y{i}" for i in range(40))), (None, " ".join(f"y{i}" for i in range(41))), (9, " ".join(f"z{i}" for i in range(40))), (None, " ".join(f"z{i}" for i in range(41)))]
+
+
+def test_stages_keep_rows_without_ids_of_their_own(spark):
+    docs = spark.createDataFrame(APART + NEAR, "doc_id long, text string")
+    assert Counter(map(tuple, exact_dedup.keep_first(docs).collect())) == Counter(set(APART + NEAR))
+    out = Counter(map(tuple, ngram_join.keep_one(docs).collect()))
+    assert sum(out[x] for x in NEAR[:2]) == 1
+    assert Counter({x: n for x, n in out.items() if x not in NEAR[:2]}) == Counter({*APART, NEAR[2]})
+
+
+def test_near_without_ids(spark):
+    """No group or link but the right ones, and near copies without ids are linked."""
+    docs = spark.createDataFrame(APART + NEAR, "doc_id long, text string")
+    got = Counter(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == Counter({(None, None, 1, 0, None): 2, (7, 7, 1, 0, 7): 2, (8, 8, 2, 0, 8): 2, (None, None, 1, 1, None): 2, (9, 9, 1, 1, 9): 1, (None, None, 1, 1, 9): 1})
+
+
 # lines
 
 
