@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +35,11 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back, so that lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +48,56 @@ def keyed(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "keyed")
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but don't use; a worker is reused by later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` (over batches, or over one or two tables) with :func:`give_back` at the end of the task or group."""
+    if inspect.isgeneratorfunction(run):
+
+        def over_batches(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return over_batches
+    if len(inspect.signature(run).parameters) == 1:
+
+        def over_table(table):
+            try:
+                return run(table)
+            finally:
+                give_back()
+
+        return over_table
+
+    def over_tables(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return over_tables
+
+
+def row_key(docs: DataFrame, *columns: Column) -> Column:
+    """A 64-bit key that is equal for rows equal in ``columns`` and different for others. It comes from the row alone, so scans
+    and repeated tasks agree on it. Salts are tried until no two different rows (told by 64 further bits) share a key."""
+    hashed = lambda salt: F.xxhash64(F.lit(salt), *(x for c in columns for x in (c.isNull(), c)))
+    for salt in range(1, 1000):
+        rows = docs.select(hashed(salt).alias("a"), hashed(-salt).alias("b"))
+        if rows.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").isEmpty():
+            return hashed(salt)
+    raise RuntimeError("no salt parts the rows")
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables written so far. Call it when no returned DataFrame is needed any more."""
     jvm = spark.sparkContext._jvm

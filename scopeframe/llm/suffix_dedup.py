@@ -7,14 +7,16 @@
 3. The contexts of other anchors go to shards by anchor. A shard sorts all suffixes by Larsson-Sadakane refinement in numpy,
    from 8 bytes by doubling to 200, only groups not yet sorted being sorted again, and takes common prefixes by Kasai's
    method, in step over all contexts. Suffixes with a neighbour of 200 or more common bytes are repeated windows.
-4. An anchor with more contexts than a shard takes is cut into several shards. Their sorted runs of window digests (128 bits)
-   meet by digest, and are merged by binary search. So no task grows with the number of texts that share a passage.
+4. An anchor with more contexts than a shard takes is cut into several shards. Each sends its distinct windows, once, as sorted
+   runs of digests (128 bits), cut at the same digests in all shards; runs are merged two by two by binary search, and a shard
+   gets back which of its windows occur more than once. So no task grows with the number of texts that share a passage, and a
+   window that many texts share is one entry of a run.
 5. Marked windows go back to all occurrences, and become byte ranges of each document.
 
 Defined results: a null text is empty; texts under 200 bytes lose nothing; matches never cross documents; a document's own
-repeats count, overlapping ones too; rows that repeat an id and a text are separate documents that repeat each other; an id
-with different texts is not expected, and its texts share their ranges; null ids count as one id of this kind; an empty
-table gives an empty result; further columns are not read.
+repeats count, overlapping ones too; rows that repeat an id and a text are separate documents that repeat each other; rows
+without an id, and different texts under one id, are documents of their own, told by a hash of id and text; an empty table
+gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,17 +32,23 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 LENGTH, ANCHOR = 200, 96
-PIECE = 1 << 18
+#: Anchors are picked in pieces of so many bytes, whose hashes stay in a core's cache.
+PIECE = 1 << 15
 #: Bytes of contexts in a shard, and the most contexts of one anchor in it.
 SHARD_BYTES, SHARD_CONTEXTS = 2 << 20, 2048
-#: Window digests in a merge.
-MERGE_ROWS = 200_000
-NO_ID = (1 << 63) - 1
+#: Windows of an anchor in a merge.
+MERGE_ROWS = 500_000
+#: Shards are dealt over so many tasks at most.
+MOST_TASKS = 20_000
+MARKS = "h long, c long, a array<int>, b array<int>"
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * vec.M1 + b
-    return (x ^ (x >> np.uint64(29))) * vec.M2
+    x = a * vec.M1
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= vec.M2
+    return x
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -53,7 +61,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int
         part = buf[at : at + PIECE + length]
         full = part.size
         h8 = vec.loads(part)[: full - 7]
-        h8 = (h8 ^ (h8 >> np.uint64(31))) * vec.M3
+        h8 = h8 ^ (h8 >> np.uint64(31))
+        h8 *= vec.M3
         h16 = join_hash(h8[:-8], h8[8:])
         h32 = join_hash(h16[:-16], h16[16:])
         h64 = join_hash(h32[:-32], h32[32:])
@@ -68,18 +77,22 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, anchor: int
             gap = width - reach
             low = np.minimum(low[:-gap], low[gap:])
         low = low[: min(PIECE, full - length + 1)]
-        place = (low & np.uint64((1 << 19) - 1)).astype(np.int64)
-        starts = np.arange(at, at + place.size)
-        doc = np.searchsorted(ends, starts, "right")
-        ok = starts + length <= ends[np.minimum(doc, ends.size - 1)]
-        starts, place, doc = starts[ok], place[ok], doc[ok]
-        if starts.size:
-            new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-            last = np.r_[new[1:] - 1, starts.size - 1]
-            found.append((h[place[new]], place[new] + at, starts[new], starts[last]))
+        # an anchor's windows follow one another; they end before a text's last ``length`` - 1 bytes
+        first = np.flatnonzero(low[1:] != low[:-1]) + 1
+        cuts = np.concatenate([ends, ends - length + 1])
+        cuts = cuts[(cuts > at) & (cuts < at + low.size)] - at
+        first = np.unique(np.concatenate([np.zeros(1, np.int64), first, cuts]))
+        last = np.append(first[1:] - 1, low.size - 1)
+        place = (low[first] & np.uint64((1 << 19) - 1)).astype(np.int64)
+        ok = first + at + length <= ends[np.minimum(np.searchsorted(ends, first + at, "right"), ends.size - 1)]
+        first, last, place = first[ok], last[ok], place[ok]
+        if first.size:
+            found.append((h[place], place + at, first + at, last + at))
     if not found:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    h, place, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # what two pieces share is one anchor's
+    return h[new], place[new], lo[new], hi[np.r_[new[1:], place.size] - 1]
 
 
 def context_hash(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -94,7 +107,7 @@ def context_hash(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndar
 
 
 def anchor_rows(docs: DataFrame, hashes_only: bool) -> DataFrame:
-    """h; or h, c, _id, lo and hi (first and last owned window)."""
+    """h; or h, c, _row, lo and hi (first and last owned window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +123,11 @@ def anchor_rows(docs: DataFrame, hashes_only: bool) -> DataFrame:
                 doc = np.searchsorted(own, lo, "right") - 1
                 base = own[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column("_id").slice(a, b - a).take(pa.array(doc)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
-                    ["h", "c", "_id", "lo", "hi"],
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column("_row").slice(a, b - a).take(pa.array(doc)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))],
+                    ["h", "c", "_row", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(run, "h long" if hashes_only else "h long, c long, _id long, lo int, hi int")
+    return docs.mapInArrow(common.tidy(run), "h long" if hashes_only else "h long, c long, _row long, lo int, hi int")
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +140,9 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     key = vec.loads(buf)[:n].byteswap()
     # bytes after the text's end are 0xFF, which no UTF-8 text holds
     key |= np.where(short < 8, (np.uint64(1) << ((8 - np.minimum(short, 7)) * 8 * (short < 8)).astype(np.uint64)) - np.uint64(1), np.uint64(0))
-    order = np.lexsort((np.arange(n), key))
+    order = np.argsort(key)
+    ended = np.flatnonzero(left[order] < 8)  # equal ones lie together, and go by their texts
+    order[ended] = order[ended][np.lexsort((order[ended], key[order[ended]]))]
     sorted_key = key[order]
     new = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | (left[order][1:] < 8) | (left[order][:-1] < 8)]
     rank = np.empty(n, np.int64)
@@ -142,15 +157,17 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
         # members of a group have at least ``done`` bytes left; what follows the text's end is unique by rank
         follow = np.minimum(unsorted + step, n - 1)
         second = np.where(left[unsorted] > step, rank[follow], n + unsorted)
-        by = np.lexsort((second, rank[unsorted]))
-        at, group, second = unsorted[by], rank[unsorted][by], second[by]
+        both = rank[unsorted] * (2 * n) + second
+        by = np.argsort(both)
+        at, both = unsorted[by], both[by]
+        group = both // (2 * n)
         first = np.r_[True, group[1:] != group[:-1]]
-        new = first | np.r_[True, second[1:] != second[:-1]]
+        new = np.r_[True, both[1:] != both[:-1]]
         begin = np.maximum.accumulate(np.where(first, np.arange(at.size), 0))
         head = np.maximum.accumulate(np.where(new, np.arange(at.size), 0))
         rank[at] = group + head - begin
         done += step
-    return np.argsort(rank, kind="stable"), rank
+    return np.argsort(rank), rank
 
 
 def common_prefixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -220,63 +237,124 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table({"h": table["h"], "c": table["c"], "a": pa.array([r[0] for r in runs], pa.list_(pa.int32())), "b": pa.array([r[1] for r in runs], pa.list_(pa.int32()))})
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts whose anchor is cut over shards: a digest of each window."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            buf, offs = vec.flat(part.column("t"))
-            counts = np.maximum(np.diff(offs) - LENGTH + 1, 0)
-            owner = np.repeat(np.arange(counts.size), counts)
-            start = np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
-            d = [hashlib.blake2b(buf[i : i + LENGTH].tobytes(), digest_size=16).digest() for i in offs[:-1][owner] + start]
-            both = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(x).take(take) for x in ("h", "c", "shard")] + [pa.array(start.astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                ["h", "c", "shard", "start", "d1", "d2"],
-            )
-
-
-def merge_runs(shards: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    """Which rows' digests occur in two shards or more. Each shard's sorted run is looked up in what was merged before."""
-    merged, several = np.zeros(0, digests.dtype), np.zeros(0, bool)
-    for s in np.unique(shards):
-        run = np.unique(digests[shards == s])
-        at = np.searchsorted(merged, run)
-        there = np.zeros(run.size, bool)
-        inside = at < merged.size
-        there[inside] = merged[at[inside]] == run[inside]
-        several[at[there]] = True
-        merged = np.insert(merged, at[~there], run[~there])
-        several = np.insert(several, at[~there], False)
-    return several[np.searchsorted(merged, digests)]
+def window_hashes(buf: np.ndarray, salt: int, length: int = LENGTH) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place on, by doubling from 8 bytes. ``length`` is 8 at least."""
+    n = max(buf.size - length + 1, 0)
+    have = first = vec.mix(vec.loads(buf) ^ np.uint64(salt))
+    size, left, done, out = 8, length // 8, 0, np.full(n, np.uint64(salt))
+    while left:
+        if left & 1:
+            out = join_hash(out, have[done : done + n])
+            done += size
+        left >>= 1
+        if left:
+            have = join_hash(have[:-size], have[size:])
+            size *= 2
+    return join_hash(out, first[length - 8 : length - 8 + n])
+
+
+def digests_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the window at each place."""
+    return window_hashes(buf, 0x51), window_hashes(buf, 0xA7)
+
+
+def flat_windows(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes and offsets, and of each window its text and its place in the bytes."""
+    buf, offs = vec.flat(texts)
+    counts = np.maximum(np.diff(offs) - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(counts.size), counts)
+    return buf, offs, owner, offs[:-1][owner] + np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+RUN = "shard int, h long, part int, d1 binary, d2 binary, more binary"
+
+
+def _run(table: pa.Table) -> pa.Table:
+    """A shard's distinct windows, each once, as sorted runs of digests: a run for each anchor and range of digests, with a
+    byte for each window that says whether it occurs in the shard more than once."""
+    buf, offs, owner, at = flat_windows(table["t"])
+    _, rank = suffix_order(buf, offs[:-1], offs[1:])
+    by = np.argsort(rank[at], kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(rank[at[by]]) != 0])
+    more = np.diff(np.r_[first, by.size]) > 1
+    one = by[first]
+    d1, d2 = (d[at[one]] for d in digests_of(buf))
+    h, parts = table["h"].to_numpy()[owner[one]], table["parts"].to_numpy()[owner[one]].astype(np.uint64)
+    part = ((d1 >> np.uint64(32)) * parts >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((d1, part, h))
+    h, part, d1, d2, more = h[order], part[order], d1[order], d2[order], more[order].astype(np.uint8)
+    begin = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
+    cuts = list(zip(begin.tolist(), np.r_[begin[1:], h.size].tolist(), strict=True))
+    blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (d1, d2, more)]
+    shard = pa.array(np.full(len(cuts), table["shard"][0].as_py(), np.int32))
+    return pa.table({"shard": shard, "h": h[begin], "part": part[begin], "d1": blobs[0], "d2": blobs[1], "more": blobs[2]})
+
+
+def find(d1: np.ndarray, d2: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """By binary search, the place of each digest (x1, x2) among those sorted by d1; -1: not there."""
+    lo, hi = np.searchsorted(d1, x1), np.searchsorted(d1, x1, "right")
+    out = np.full(x1.size, -1, np.int64)
+    some = np.flatnonzero(hi > lo)
+    good = d2[lo[some]] == x2[some]
+    out[some[good]] = lo[some[good]]
+    for i in some[~good & (hi[some] - lo[some] > 1)]:  # different digests that share 64 bits
+        for k in range(lo[i], hi[i]):
+            if d2[k] == x2[i]:
+                out[i] = k
+    return out
+
+
+def merge_two(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two runs of (d1, d2, whether it occurs more than once), sorted by d1: the smaller is looked up in the larger."""
+    if a[0].size < b[0].size:
+        a, b = b, a
+    at = find(a[0], a[1], b[0], b[1])
+    more = a[2].copy()
+    more[at[at >= 0]] = 1
+    rest = at < 0
+    where = np.searchsorted(a[0], b[0][rest], "right")
+    return tuple(np.insert(x, where, y[rest]) for x, y in zip((a[0], a[1], more), b, strict=True))
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    digests = np.zeros(table.num_rows, [("h", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
-    for c in ("h", "d1", "d2"):
-        digests[c] = table[c].to_numpy()
-    # structured values sort by a rank of their own
-    _, rank = np.unique(digests, return_inverse=True)
-    table = table.filter(pa.array(merge_runs(table["shard"].to_numpy(), rank)))
-    start = pa.array([[x] for x in table["start"].to_pylist()], pa.list_(pa.int32()))
-    return pa.table({"h": table["h"], "c": table["c"], "a": start, "b": start})
+    """The shards' runs of an anchor and a range of digests, merged two by two. Of each run, the digests that occur more than
+    once in all."""
+    runs = [tuple(np.frombuffer(x, t) for x, t in zip(r, (np.uint64, np.uint64, np.uint8), strict=True)) for r in zip(*(table[c].to_pylist() for c in ("d1", "d2", "more")), strict=True)]
+    merged = runs
+    while len(merged) > 1:
+        merged = [merge_two(*merged[i : i + 2]) if i + 1 < len(merged) else merged[i] for i in range(0, len(merged), 2)]
+    met = merged[0][2] > 0
+    d1, d2 = merged[0][0][met], merged[0][1][met]
+    there = [find(d1, d2, r[0], r[1]) >= 0 for r in runs]
+    blobs = [pa.array([r[k][t].tobytes() for r, t in zip(runs, there, strict=True)], pa.binary()) for k in (0, 1)]
+    return pa.table({"shard": table["shard"], "d1": blobs[0], "d2": blobs[1]})
+
+
+def _mark(table: pa.Table, met: pa.Table) -> pa.Table:
+    """Of a shard's contexts, the runs of windows whose digests occur more than once."""
+    buf, offs, owner, at = flat_windows(table["t"])
+    m1, m2 = (np.frombuffer(b"".join(met[c].to_pylist()), np.uint64) for c in ("d1", "d2"))
+    order = np.argsort(m1, kind="stable")
+    d1, d2 = (d[at] for d in digests_of(buf))
+    marked = find(m1[order], m2[order], d1, d2) >= 0
+    bounds = np.searchsorted(owner, np.arange(table.num_rows + 1))
+    runs = [runs_of(marked[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.table({"h": table["h"], "c": table["c"], "a": pa.array([r[0] for r in runs], pa.list_(pa.int32())), "b": pa.array([r[1] for r in runs], pa.list_(pa.int32()))})
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """_id and the byte ranges [from, to) to remove, not merged. ``docs``: _id, text."""
+    """_row and the byte ranges [from, to) to remove, not merged. ``docs``: _row, text; equal _row means equal texts."""
     counts = anchor_rows(docs, True).groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     repeated = common.materialise(counts, "repeated-anchors")
     places = common.materialise(anchor_rows(docs, False).join(repeated, "h"), "anchor-places")
-    contexts = places.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("_id", "lo", "hi")).alias("one"))
+    contexts = places.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("_row", "lo", "hi")).alias("one"))
     contexts = common.materialise(contexts, "contexts")
-    stats = contexts.groupBy("h").agg(F.count("*").alias("m"), F.sum("k").alias("all"))
-    several = common.materialise(stats.where("m > 1").select("h", "m"), "several")
     span = F.col("one.hi") - F.col("one.lo")
+    stats = contexts.groupBy("h").agg(F.count("*").alias("m"), F.sum(span + 1).alias("w"))
+    several = common.materialise(stats.where("m > 1").select("h", "m", F.ceil(F.col("w") / MERGE_ROWS).cast("int").alias("parts")), "several")
     whole = contexts.where("k > 1").select("h", "c", F.array(F.lit(0)).alias("a"), F.array(span).alias("b"))
 
-    chosen = contexts.join(several, "h").select("h", "c", "m", F.col("one._id").alias("_id"), F.col("one.lo").alias("lo"), (span + LENGTH).alias("size"))
+    chosen = contexts.join(several, "h").select("h", "c", "m", "parts", F.col("one._row").alias("_row"), F.col("one.lo").alias("lo"), (span + LENGTH).alias("size"))
     chosen = common.materialise(chosen, "chosen")
     total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
@@ -284,25 +362,27 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     spread = F.ceil(F.col("m") / SHARD_CONTEXTS)
     shard = F.pmod(F.xxhash64("h", F.when(spread > 1, F.pmod(F.xxhash64("c"), spread)).otherwise(0)), F.lit(shards * 4)).cast("int")
     binary = F.col("_text").cast("binary")
-    source = docs.select(F.col("_id").alias("_doc"), F.col("text").alias("_text"))
-    texts = chosen.join(source, F.col("_id") == F.col("_doc")).select(
-        "h", "c", shard.alias("shard"), (spread > 1).alias("cut"), F.substring(binary, F.col("lo") + 1, F.col("size")).alias("t")
+    source = docs.select(F.col("_row").alias("_doc"), F.col("text").alias("_text"))
+    texts = chosen.join(source, F.col("_row") == F.col("_doc")).select(
+        "h", "c", "parts", shard.alias("shard"), (spread > 1).alias("cut"), F.substring(binary, F.col("lo") + 1, F.col("size")).alias("t")
     )
-    texts = common.materialise(texts.where(F.octet_length("t") >= LENGTH).dropDuplicates(["h", "c"]), "context-texts")
-    in_shard = texts.groupBy("shard").applyInArrow(_shard, "h long, c long, a array<int>, b array<int>")
-    cut = texts.where("cut")
-    marks = [whole, in_shard]
+    # rows that repeat an id and a text share a key
+    texts = common.materialise(texts.dropDuplicates(["h", "c"]), "context-texts")
+    tasks = min(shards, MOST_TASKS)
+    by_shard = lambda df: df.repartition(tasks, "shard").groupBy("shard")
+    marks = [whole, by_shard(texts.where("not cut").select("h", "c", "shard", "t")).applyInArrow(common.tidy(_shard), MARKS)]
+    cut = texts.where("cut").select("h", "c", "parts", "shard", "t")
     if not cut.isEmpty():
-        digests = common.materialise(cut.mapInArrow(_digests, "h long, c long, shard int, start int, d1 long, d2 long"), "digests")
-        parts = max(1, -(-digests.count() // MERGE_ROWS))
-        marks.append(digests.withColumn("part", F.pmod("d1", F.lit(parts))).groupBy("part").applyInArrow(_merge, "h long, c long, a array<int>, b array<int>"))
+        runs = common.materialise(by_shard(cut).applyInArrow(common.tidy(_run), RUN), "window-runs")
+        met = common.materialise(runs.groupBy("h", "part").applyInArrow(common.tidy(_merge), "shard int, d1 binary, d2 binary"), "windows-met")
+        marks.append(by_shard(cut).cogroup(by_shard(met.where(F.octet_length("d1") > 0))).applyInArrow(common.tidy(_mark), MARKS))
     found = marks[0]
     for x in marks[1:]:
         found = found.unionByName(x)
     found = common.materialise(found.where(F.size("a") > 0), "marks")
     hits = places.join(found, ["h", "c"])
-    each = hits.select("_id", "lo", F.explode(F.arrays_zip("a", "b")).alias("r"))
-    return each.select("_id", (F.col("lo") + F.col("r.a")).alias("from"), (F.col("lo") + F.col("r.b") + LENGTH).alias("to"))
+    each = hits.select("_row", "lo", F.explode(F.arrays_zip("a", "b")).alias("r"))
+    return each.select("_row", (F.col("lo") + F.col("r.a")).alias("from"), (F.col("lo") + F.col("r.b") + LENGTH).alias("to"))
 
 
 def cut_out(text: bytes, pairs: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -325,27 +405,26 @@ def cut_out(text: bytes, pairs: list[tuple[int, int]]) -> tuple[int, int, bytes]
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, and what is left if asked for."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), common.row_key(docs, F.col("doc_id"), text).alias("_row"))
     # a document's ranges are as many as its windows at most
-    ranges = removed_ranges(rows).groupBy("_id").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    ranges = removed_ranges(rows.select("_row", "text")).groupBy("_row").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                lists = part.column("ranges")
-                for key, text, pairs in zip(part.column("_id").to_pylist(), part.column("text").to_pylist(), lists.to_pylist(), strict=True):
+                for text, pairs in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
                     removed, spans, kept = cut_out(data, [(x["from"], x["to"]) for x in pairs or ()])
-                    out.append((None if key == NO_ID else key, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                keep = 6 if with_text else 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)][:keep], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:keep])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(ranges, "_id", "left").select("_id", "text", "ranges").mapInArrow(run, schema)
+                    out.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_text else 4]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds) + 1])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return rows.join(ranges, "_row", "left").select("doc_id", "text", "ranges").mapInArrow(common.tidy(run), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that clash with names used inside operators, and a null, empty, repeated and long text.
-ODD = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, " \t\n"), (5, "x" * 300_000), (None, "one two three four five six"), (6, "é ñ 日本 " * 40)]
+ODD = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, " \t\n"), (5, "x" * 300_000), (None, "one two three four five six"), (6, "é ñ 日本 " * 40), (None, "another text without an id"), (3, "another text under one id")]
 
 
 @pytest.fixture(scope="session")

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def test_exact_tells_collisions_apart(spark, monkeypatch):
 def test_exact_stage(odd, none):
     out = exact_dedup.keep_first(odd)
     assert out.columns == odd.columns
-    assert sorted(x["doc_id"] for x in out.collect()) == [1, 3, 4, 5, 6]
+    assert sorted(x["doc_id"] for x in out.collect()) == [1, 3, 3, 4, 5, 6]
     assert exact_dedup.keep_first(none).count() == 0 == exact_dedup.exact_groups(none).count()
 
 
@@ -278,7 +279,7 @@ def test_suffix_order_is_sorted():
     assert order.tolist() == sorted(range(buf.size), key=suffix)
 
 
-@pytest.mark.parametrize("contexts, merge", [(2048, 200_000), (2, 50)])
+@pytest.mark.parametrize("contexts, merge", [(2048, 500_000), (2, 50)])
 def test_substrings(spark, contexts, merge, monkeypatch):
     """Small bounds send shared passages through several shards and the merge."""
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", contexts)
@@ -288,10 +289,58 @@ def test_substrings(spark, contexts, merge, monkeypatch):
     passages = [text(n) for n in (150, 199, 205, 260, 700)]
     rows = [(i, text(rng.randint(0, 300)) + rng.choice(passages) + text(rng.randint(0, 60)) + rng.choice(passages)) for i in range(30)]
     rows += [(50, None), (51, ""), (52, "z" * 1000), (53, "z" * 250), (54, passages[4]), (55, passages[4])]
+    # without ids, with a repeated id, and a repeated row
+    rows += [(None, text(220) + passages[3]), (None, text(500)), (7, passages[2] + text(300)), (7, text(240)), (54, passages[4])]
     got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(map(tuple, got.collect())) == substring_brute(rows)
 
 
+def test_window_hashes_tell_windows():
+    rng = random.Random(4)
+    data = bytes(rng.choices(b"ab", k=500)) * 2
+    buf = np.frombuffer(data, np.uint8)
+    for length in (8, 24, 100, 200):
+        got = [suffix_dedup.window_hashes(buf, s, length) for s in (1, 2)]
+        want = [data[i : i + length] for i in range(len(data) - length + 1)]
+        for d in got:
+            assert d.size == len(want) and len(set(zip(d.tolist(), want, strict=True))) == len(set(want)) == len(set(d.tolist()))
+    assert suffix_dedup.window_hashes(buf[:100], 1).size == 0
+
+
+def test_merged_runs():
+    """Runs of digests that often share their first half, against a count."""
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        runs, seen = [], Counter()
+        for _ in range(rng.integers(1, 7)):
+            keys = sorted({(int(a), int(b)) for a, b in rng.integers(0, 6, (rng.integers(1, 20), 2))})
+            more = rng.integers(0, 5, len(keys)) == 0
+            runs.append((np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint64), more.astype(np.uint8)))
+            for k, m in zip(keys, more, strict=True):
+                seen[k] += 1 + int(m)
+        table = pa.table({"shard": pa.array(range(len(runs)), pa.int32()), **{c: pa.array([r[i].tobytes() for r in runs], pa.binary()) for i, c in enumerate(("d1", "d2", "more"))}})
+        got = suffix_dedup._merge(table)
+        for r, d1, d2 in zip(runs, got["d1"].to_pylist(), got["d2"].to_pylist(), strict=True):
+            want = [k for k in zip(r[0].tolist(), r[1].tolist(), strict=True) if seen[k] > 1]
+            assert list(zip(np.frombuffer(d1, np.uint64).tolist(), np.frombuffer(d2, np.uint64).tolist(), strict=True)) == want
+
+
+def test_no_row_a_window(spark, monkeypatch):
+    """A passage that many different contexts share is a run a shard: rows follow shards, not contexts."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 40)
+    made = []
+    write = suffix_dedup.common.materialise
+    monkeypatch.setattr(suffix_dedup.common, "materialise", lambda df, tag: made.append((tag, out := write(df, tag))) or out)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    passage = word(260)
+    rows = [(i, word(80) + passage + word(80)) for i in range(400)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["n_removed"] for x in got} <= set(range(260, 270))
+    sizes = {tag: df.count() for tag, df in made}
+    assert 0 < sizes["window-runs"] <= 100 < sizes["contexts"]
+
+
 def test_substrings_odd(odd, none):
     rows = [(x["doc_id"], x["text"]) for x in odd.collect()]
     assert Counter(map(tuple, suffix_dedup.dedup(odd).collect())) == substring_brute(rows)
