@@ -43,6 +43,11 @@ def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of a few longs a row: to be broadcast if it has at most ``most`` rows, else left to the planner."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """_row (a key of its own for each row, fixed as the table is written) and _doc, all columns of ``docs``."""
     return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "keyed")
@@ -98,13 +103,21 @@ def row_key(docs: DataFrame, *columns: Column) -> Column:
     raise RuntimeError("no salt parts the rows")
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables written so far. Call it when no returned DataFrame is needed any more."""
+def written() -> int:
+    """How many tables :func:`release` knows of."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, but: str = "") -> None:
+    """Delete the tables written so far, from number ``since`` on, except those whose tag begins with ``but``. Call it when no
+    returned DataFrame needs them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    kept = _WRITTEN[:since] + [x for x in _WRITTEN[since:] if but and x.rpartition("/")[2].startswith(but)]
+    for name in [x for x in _WRITTEN if x not in kept]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[:] = kept
 
 
 def fold(id_col: str, modulus: int = 5) -> Column:

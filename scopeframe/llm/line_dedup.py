@@ -3,20 +3,19 @@
 Lines are parted by line feeds; those of equal bytes are one distinct line, placed by its first document and line number. Two
 distinct lines of LEAST bytes or more are near if their bytes are within EDITS edits. An indexed line is split into EDITS + 1
 segments, one of which a near line must hold unchanged; a line probes the substrings of its own that may equal a segment of a
-line of its length or up to EDITS less, by the multi-match-aware choice of starts. Candidates must hold all but EDITS of
-PIECES finer segments near their places and have nearly the same letters, and what is left is verified by a banded bit-parallel
-automaton: of each number of edits, a word with a bit for each diagonal.
+line of its length or up to EDITS less, by the multi-match-aware choice of starts. Candidates must have nearly the same letters and hold all but EDITS of PIECES finer segments near
+their places, and what is left is verified by a banded bit-parallel automaton: of each number of edits, a word with a bit for each diagonal.
 
-A key that more than HOT rows share doesn't give pairs. Its indexed and its probing lines are cut into blocks by hash, and pairs
-of blocks are verified inside a row. So a family of many variants of a line is split over many tasks, and only near pairs become
-rows.
+A key that over HOT lines have in the index doesn't give pairs. All its lines are held against the earliest of them; those that
+aren't near it go to blocks by hash, and pairs of blocks are verified inside a row. So a family of many variants of a line takes
+time in proportion to it, and no pairs of it become rows.
 
 A line is dropped if it isn't the first of its copies, or is near an earlier line. So the decision on a line depends on earlier
 lines only, and no chains are followed.
 
-Defined results: a null or empty text is one empty line; empty and short lines are dropped only as exact copies; a null id
-comes last; rows that repeat an id count as one document's lines over again, and later ones are copies; an empty table gives an
-empty result; further columns are not read.
+Defined results: a null or empty text is one empty line; empty and short lines are dropped only as exact copies; null ids come
+last; different texts without an id, or under one id, are documents of their own, in the order of a hash; of rows that repeat an
+id and a text, all but one hold copies only; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,46 +26,71 @@ from pyspark.sql import functions as F
 from . import common
 
 EDITS, LEAST, PIECES = 2, 24, 8
-#: Rows of a key from which its lines go to blocks, and lines of a block.
+#: Index rows of a key from which its lines go to blocks, and lines of a block.
 HOT, BLOCK = 48, 64
+#: Pairs are verified in so many tasks at most.
+MOST_TASKS = 20_000
 LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, no (from 0), id and line (binary) of each line."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_l"))
+def lines_of(docs: DataFrame, row: Column) -> DataFrame:
+    """h1 and h2 (128 bits of the line), first (its place in the order of lines: null ids last) and line (binary)."""
+    rows = docs.select("doc_id", row.alias("_row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_l"))
     rows = rows.select("doc_id", "_row", F.posexplode("_l").alias("no", "_s")).withColumn("line", F.col("_s").cast("binary"))
-    return rows.select("doc_id", "_row", "no", F.struct(F.xxhash64("line"), F.xxhash64(F.lit(1), "line"), F.octet_length("line")).alias("id"), "line")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "no")
+    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("first"), "line")
+
+
+def profile(line: Column) -> Column:
+    """Counts of the letters, and of other characters."""
+
+    def counted(text: Column) -> Column:
+        counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+        return let(counts, lambda x: F.concat(x, F.array(F.length(text) - F.aggregate(x, F.lit(0), lambda t, n: t + n))))
+
+    return let(F.lower(line.cast("string")), counted)
+
 
+def parities(counts: Column) -> Column:
+    """The counts' last bits as one number."""
+    bits = F.transform(counts, lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(1)), i))
+    return F.aggregate(bits, F.lit(0), lambda all_, x: all_.bitwiseOR(x))
 
-def cut(n: Column, k: int, parts: int) -> Column:
+
+def marked(line: Column, **others: Column) -> Column:
+    """``others``, the line, its profile p and the parities sk of that."""
+    return let(profile(line), lambda p: F.struct(*(c.alias(n) for n, c in others.items()), line.alias("line"), p.alias("p"), parities(p).alias("sk")))
+
+
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines (p, sk) may be within ``edits``: an edit changes two counts by one at most."""
+    apart = F.aggregate(F.zip_with(a["p"], b["p"], lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return F.when(F.bit_count(a["sk"].bitwiseXOR(b["sk"])) <= 2 * edits, apart <= 2 * edits).otherwise(False)
+
+
+def cut(n: Column, k: Column | int, parts: int) -> Column:
     """Where segment k begins, from 0."""
-    return F.floor(n * k / parts).cast("int")
+    return F.call_function("div", n * k, F.lit(parts)).cast("int")
 
 
-def key(length: Column, segment: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(segment), text)
+def keys_of(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """lid and k, for each of (less, segment, shift): the hash of the line's bytes that would be the segment of a line of
+    ``less`` bytes less, if they lie ``shift`` bytes to the right there. A row a spec, so that compiled code stays short."""
+    listed = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in specs))
+    n, i = F.octet_length("line") - F.col("x.less"), F.col("x.i")
+    a, b = cut(n, i, edits + 1), cut(n, i + 1, edits + 1)
+    return lines.select("lid", "line", F.explode(listed).alias("x")).select("lid", F.xxhash64(n, i, F.substring(F.col("line"), a + F.col("x.shift") + 1, b - a)).alias("k"))
 
 
-def index_keys(edits: int) -> Column:
-    n = F.octet_length("line")
-    out = []
-    for i in range(edits + 1):
-        a, b = cut(n, i, edits + 1), cut(n, i + 1, edits + 1)
-        out.append(key(n, i, F.substring(F.col("line"), a + 1, b - a)))
-    return F.array(*out)
+def index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    return keys_of(lines, [(0, i, 0) for i in range(edits + 1)], edits)
 
 
-def probe_keys(edits: int) -> Column:
-    """Of the lines of this length and up to ``edits`` less: the starts that both the left and the right side allow."""
-    out = []
-    for less in range(edits + 1):
-        n = F.octet_length("line") - less
-        for i in range(edits + 1):
-            a, b = cut(n, i, edits + 1), cut(n, i + 1, edits + 1)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                out.append(key(n, i, F.substring(F.col("line"), a + shift + 1, b - a)))
-    return F.array_distinct(F.array(*out))
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Of the lines of this length and up to ``edits`` less: the starts that both the left and the right side allow. The
+    line's own index keys are among them; a key may come twice."""
+    starts = lambda less, i: range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+    return keys_of(lines, [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in starts(less, i)], edits)
 
 
 def holds_pieces(s: Column, r: Column, edits: int) -> Column:
@@ -114,16 +138,196 @@ def _words(x: Column, edits: int, mask: int) -> Column:
 
 
 def profile(line: Column) -> Column:
-    """Counts of the letters, of other bytes that end a character, and of all bytes."""
-    text = F.lower(line.cast("string"))
-    n = F.length(text)
-    counts = [n - F.length(F.translate(text, c, "")) for c in LETTERS]
-    return F.array(*counts, F.length(F.translate(text, LETTERS, "")))
+    """Counts of the letters, and of other characters."""
+
+    def counted(text: Column) -> Column:
+        counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+        return let(counts, lambda x: F.concat(x, F.array(F.length(text) - F.aggregate(x, F.lit(0), lambda t, n: t + n))))
+
+    return let(F.lower(line.cast("string")), counted)
+
+
+def parities(counts: Column) -> Column:
+    """The counts' last bits as one number."""
+    bits = F.transform(counts, lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(1)), i))
+    return F.aggregate(bits, F.lit(0), lambda all_, x: all_.bitwiseOR(x))
+
+
+def marked(line: Column, **others: Column) -> Column:
+    """``others``, the line, its profile p and the parities sk of that."""
+    return let(profile(line), lambda p: F.struct(*(c.alias(n) for n, c in others.items()), line.alias("line"), p.alias("p"), parities(p).alias("sk")))
+
+
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines (p, sk) may be within ``edits``: an edit changes two counts by one at most."""
+    apart = F.aggregate(F.zip_with(a["p"], b["p"], lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return F.when(F.bit_count(a["sk"].bitwiseXOR(b["sk"])) <= 2 * edits, apart <= 2 * edits).otherwise(False)
+
+
+def cut(n: Column, k: Column | int, parts: int) -> Column:
+    """Where segment k begins, from 0."""
+    return F.call_function("div", n * k, F.lit(parts)).cast("int")
+
+
+def keys_of(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """lid and k, for each of (less, segment, shift): the hash of the line's bytes that would be the segment of a line of
+    ``less`` bytes less, if they lie ``shift`` bytes to the right there. A row a spec, so that compiled code stays short."""
+    listed = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in specs))
+    n, i = F.octet_length("line") - F.col("x.less"), F.col("x.i")
+    a, b = cut(n, i, edits + 1), cut(n, i + 1, edits + 1)
+    return lines.select("lid", "line", F.explode(listed).alias("x")).select("lid", F.xxhash64(n, i, F.substring(F.col("line"), a + F.col("x.shift") + 1, b - a)).alias("k"))
+
+
+def index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    return keys_of(lines, [(0, i, 0) for i in range(edits + 1)], edits)
+
+
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Of the lines of this length and up to ``edits`` less: the starts that both the left and the right side allow. The
+    line's own index keys are among them; a key may come twice."""
+    starts = lambda less, i: range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+    return keys_of(lines, [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in starts(less, i)], edits)
+
+
+def holds_pieces(s: Column, r: Column, edits: int) -> Column:
+    """Whether ``r`` holds all but ``edits`` of the finer segments of ``s``, at most ``edits`` bytes from their places. A
+    near line must."""
+    n = F.octet_length(s)
+    hits = F.lit(0)
+    for i in range(PIECES):
+        a, b = cut(n, i, PIECES), cut(n, i + 1, PIECES)
+        from_ = F.greatest(a - edits, F.lit(0))
+        around = F.substring(r, from_ + 1, b - from_ + edits)
+        hits = hits + F.contains(around, F.substring(s, a + 1, b - a)).cast("int")
+    return hits >= PIECES - edits
+
+
+def within(s: Column, t: Column, edits: int) -> Column:
+    """Whether the edit distance is at most ``edits``, which is 4 at most. Word d has bit k set if the first j bytes of ``t`` and
+    the first j + k - edits of ``s`` are within d edits; all words lie side by side in one number."""
+    if edits > 4:
+        raise ValueError("over 4 edits")
+    width = 2 * edits + 1
+    mask, each = (1 << width) - 1, sum(1 << d * width for d in range(edits + 1))
+    number = lambda x: F.lit(x).cast("long")
+    first = sum((sum(1 << edits + i for i in range(d + 1)) & mask) << d * width for d in range(edits + 1))
+    bytes_of = lambda x: F.transform(F.when(F.octet_length(x) > 0, F.sequence(F.lit(1), F.octet_length(x))).otherwise(F.array().cast("array<int>")), lambda j: F.substring(x, j, F.lit(1)))
+
+    def run(x: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            same = lambda c: sum((F.when(F.get(x["s"], j + (k - edits)) == c, number(1 << k)).otherwise(number(0)) for k in range(width)), number(0))
+            kept = acc.bitwiseAND(let(F.get(x["t"], j), same) * each)
+            before = acc.bitwiseOR(F.shiftright(acc.bitwiseAND(number(mask * each & ~each)), 1))
+            words = kept.bitwiseOR(F.shiftleft(before, width).bitwiseAND(number(mask * each)))
+            for d in range(1, edits + 1):
+                own = number(mask << (d - 1) * width & ~(1 << d * width - 1))  # the word below, but for its last bit
+                words = let(words, lambda w, own=own: w.bitwiseOR(F.shiftleft(w.bitwiseAND(own), width + 1)))
+            return words
+
+        n = F.size(x["t"])
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, number(first), step)
+
+    last = let(F.struct(bytes_of(s).alias("s"), bytes_of(t).alias("t")), run)
+    at = F.octet_length(s) - F.octet_length(t) + edits
+    bit = F.try_element_at(F.array(*(number(1 << edits * width + k) for k in range(width))), at + 1)
+    return F.when((at < 0) | (at > 2 * edits), False).otherwise(last.bitwiseAND(bit) != 0)
+
+
+def profile(line: Column) -> Column:
+    """Counts of the letters, and of other characters."""
+
+    def counted(text: Column) -> Column:
+        counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+        return let(counts, lambda x: F.concat(x, F.array(F.length(text) - F.aggregate(x, F.lit(0), lambda t, n: t + n))))
+
+    return let(F.lower(line.cast("string")), counted)
+
+
+def parities(counts: Column) -> Column:
+    """The counts' last bits as one number."""
+    bits = F.transform(counts, lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(1)), i))
+    return F.aggregate(bits, F.lit(0), lambda all_, x: all_.bitwiseOR(x))
+
+
+def marked(line: Column, **others: Column) -> Column:
+    """``others``, the line, its profile p and the parities sk of that."""
+    return let(profile(line), lambda p: F.struct(*(c.alias(n) for n, c in others.items()), line.alias("line"), p.alias("p"), parities(p).alias("sk")))
 
 
-def alike(p: Column, q: Column, edits: int) -> Column:
-    """Whether two profiles may belong to lines within ``edits``: an edit changes the counts by two at most."""
-    return F.aggregate(F.zip_with(p, q, lambda a, b: F.abs(a - b)), F.lit(0), lambda t, x: t + x) <= 2 * edits
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines (p, sk) may be within ``edits``: an edit changes two counts by one at most."""
+    apart = F.aggregate(F.zip_with(a["p"], b["p"], lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    return F.when(F.bit_count(a["sk"].bitwiseXOR(b["sk"])) <= 2 * edits, apart <= 2 * edits).otherwise(False)
+
+
+def cut(n: Column, k: Column | int, parts: int) -> Column:
+    """Where segment k begins, from 0."""
+    return F.call_function("div", n * k, F.lit(parts)).cast("int")
+
+
+def keys_of(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """lid and k, for each of (less, segment, shift): the hash of the line's bytes that would be the segment of a line of
+    ``less`` bytes less, if they lie ``shift`` bytes to the right there. A row a spec, so that compiled code stays short."""
+    listed = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in specs))
+    n, i = F.octet_length("line") - F.col("x.less"), F.col("x.i")
+    a, b = cut(n, i, edits + 1), cut(n, i + 1, edits + 1)
+    return lines.select("lid", "line", F.explode(listed).alias("x")).select("lid", F.xxhash64(n, i, F.substring(F.col("line"), a + F.col("x.shift") + 1, b - a)).alias("k"))
+
+
+def index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    return keys_of(lines, [(0, i, 0) for i in range(edits + 1)], edits)
+
+
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Of the lines of this length and up to ``edits`` less: the starts that both the left and the right side allow. The
+    line's own index keys are among them; a key may come twice."""
+    starts = lambda less, i: range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+    return keys_of(lines, [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in starts(less, i)], edits)
+
+
+def holds_pieces(s: Column, r: Column, edits: int) -> Column:
+    """Whether ``r`` holds all but ``edits`` of the finer segments of ``s``, at most ``edits`` bytes from their places. A
+    near line must."""
+    n = F.octet_length(s)
+    hits = F.lit(0)
+    for i in range(PIECES):
+        a, b = cut(n, i, PIECES), cut(n, i + 1, PIECES)
+        from_ = F.greatest(a - edits, F.lit(0))
+        around = F.substring(r, from_ + 1, b - from_ + edits)
+        hits = hits + F.contains(around, F.substring(s, a + 1, b - a)).cast("int")
+    return hits >= PIECES - edits
+
+
+def within(s: Column, t: Column, edits: int) -> Column:
+    """Whether the edit distance is at most ``edits``. Word d has bit k set if the first j bytes of ``t`` and the first
+    j + k - edits of ``s`` are within d edits."""
+    mask = (1 << (2 * edits + 1)) - 1
+    first = F.struct(*(F.lit(sum(1 << (edits + i) for i in range(d + 1)) & mask).alias(f"r{d}") for d in range(edits + 1)))
+
+    def step(acc: Column, j: Column) -> Column:
+        c = F.substring(t, j, F.lit(1))
+        m = F.lit(0)
+        for k in range(2 * edits + 1):
+            m = m + F.when(F.substring(s, j + (k - edits), F.lit(1)) == c, 1 << k).otherwise(0)
+        return let(F.struct(m.alias("m"), acc.alias("a")), lambda x: _words(x, edits, mask))
+
+    last = F.aggregate(F.sequence(F.lit(1), F.octet_length(t)), first, step)
+    at = F.octet_length(s) - F.octet_length(t) + edits
+    bit = F.try_element_at(F.array(*(F.lit(1 << k) for k in range(2 * edits + 1))), at + 1)
+    return F.when((at < 0) | (at > 2 * edits), False).otherwise(last[f"r{edits}"].bitwiseAND(bit) != 0)
+
+
+def _words(x: Column, edits: int, mask: int) -> Column:
+    m, acc = x["m"], x["a"]
+    out: list[Column] = []
+    for d in range(edits + 1):
+        word = acc[f"r{d}"].bitwiseAND(m)
+        if d:
+            before = acc[f"r{d - 1}"]
+            word = word.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[d - 1], 1).bitwiseAND(F.lit(mask)))
+        out.append(word)
+    return F.struct(*(w.alias(f"r{d}") for d, w in enumerate(out)))
 
 
 def middle(s: Column, t: Column) -> tuple[Column, Column]:
@@ -153,73 +357,91 @@ def near(s: Column, t: Column, edits: int) -> Column:
     return F.when(holds_pieces(s, t, edits), checked).otherwise(False)
 
 
-def pairs_of_blocks(lines: DataFrame, rows: DataFrame, crowded: DataFrame, edits: int) -> DataFrame:
-    """(a, b): near pairs that share a crowded key. ``lines``: lid, line; ``rows``: lid, side, k; ``crowded``: k and the lines
-    (n0, n1) of either side."""
-    parts = F.ceil(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
-    members = rows.join(crowded, "k").select("k", "side", "lid", F.pmod(F.xxhash64("lid"), parts).cast("int").alias("part"))
-    members = common.materialise(members, "block-members")
-    wanted = members.select(F.col("lid").alias("w")).distinct()
-    texts = lines.join(wanted, F.col("lid") == F.col("w"), "left_semi").withColumn("p", profile(F.col("line")))
-    texts = common.materialise(texts, "block-lines")
-    blocks = members.join(texts, "lid").groupBy("k", "side", "part").agg(F.collect_list(F.struct("lid", "line", "p")).alias("x"))
-    blocks = common.materialise(blocks, "line-blocks")
-    met = blocks.where("side = 0").select("k", F.col("x").alias("x0")).join(blocks.where("side = 1").select("k", "x"), "k")
-    # the shorter line is the indexed one; of two lines of one length either order would do
-    once = lambda a, b: (F.octet_length(a["line"]) < F.octet_length(b["line"])) | (F.octet_length(a["line"]) == F.octet_length(b["line"])) & (a["lid"] < b["lid"])
-    found = F.flatten(
-        F.transform("x0", lambda a: F.transform(F.filter("x", lambda b: F.when(once(a, b) & alike(a["p"], b["p"], edits), near(a["line"], b["line"], edits)).otherwise(False)), lambda b: F.struct(F.least(a["lid"], b["lid"]).alias("a"), F.greatest(a["lid"], b["lid"]).alias("b"))))
-    )
-    return met.select(F.inline(found))
-
-
-def near_pairs(distinct: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """(a, b): numbers of near distinct lines. ``distinct``: lid, line."""
-    long = distinct.where(F.octet_length("line") >= least)
-    both = F.array(F.struct(F.lit(0).cast("byte").alias("side"), index_keys(edits).alias("k")), F.struct(F.lit(1).cast("byte").alias("side"), probe_keys(edits).alias("k")))
-    keys = long.select("lid", F.inline(both)).select("lid", "side", F.explode("k").alias("k"))
-    # a key is of use if some line has it in its index and another probes it; the index's own lines probe it too
-    counts = keys.groupBy("k").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where(f"n0 > 0 and n0 + n1 > {hot}")
-    crowded = common.materialise(counts, "crowded-keys")
-    rows = keys.join(crowded, "k", "left_anti")
-    index, probes = rows.where("side = 0").select("k", F.col("lid").alias("i")), rows.where("side = 1").select("k", F.col("lid").alias("p"))
-    met = index.join(probes, "k").where("i <> p").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-    met = common.materialise(met, "line-candidates")
-    wanted = met.select(F.col("a").alias("w")).union(met.select("b")).distinct()
-    texts = common.materialise(long.join(wanted, F.col("lid") == F.col("w"), "left_semi"), "candidate-lines")
-    pair = met.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("t")), "b")
-    shorter = F.octet_length("s") <= F.octet_length("t")
-    pair = pair.select("a", "b", F.when(shorter, F.col("s")).otherwise(F.col("t")).alias("s"), F.when(shorter, F.col("t")).otherwise(F.col("s")).alias("t"))
-    found = pair.where(near(F.col("s"), F.col("t"), edits)).select("a", "b")
-    if crowded.isEmpty():
-        return found
-    return found.unionByName(pairs_of_blocks(long, keys, crowded, edits)).distinct()
-
-
-def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """doc_id, _row, no and fate (kept, copy or near) of each line."""
-    lines = lines_of(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "no")
-    distinct = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("line").alias("line")).withColumn("lid", F.monotonically_increasing_id())
-    distinct = common.materialise(distinct, "distinct-lines")
-    pairs = common.materialise(near_pairs(distinct.select("lid", "line"), edits, least), "near-lines")
-    firsts = distinct.select("lid", "id", "first")
-    one = pairs.join(firsts.select(F.col("lid").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("lid").alias("b"), F.col("first").alias("fb")), "b")
-    later = common.materialise(one.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct(), "near-later")
-    about = firsts.join(later.withColumn("near", F.lit(True)), "lid", "left").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    about = common.materialise(about, "line-fates")
-    fate = F.when(F.col("_row").eqNullSafe(F.col("first._row")) & (F.col("no") == F.col("first.no")), F.when(F.col("near"), "near").otherwise("kept")).otherwise("copy")
-    return lines.drop("line").join(about, "id").select("doc_id", "_row", "no", fate.alias("fate"))
+def near_any(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines (line, p, sk) are near, whichever is shorter."""
+    swap = F.octet_length(a["line"]) > F.octet_length(b["line"])
+    either = F.struct(F.when(swap, b["line"]).otherwise(a["line"]).alias("s"), F.when(swap, a["line"]).otherwise(b["line"]).alias("t"))
+    close = F.abs(F.octet_length(a["line"]) - F.octet_length(b["line"])) <= edits
+    return F.when(close & alike(a, b, edits), let(either, lambda x: near(x["s"], x["t"], edits))).otherwise(False)
+
+
+def tasks_for(rows: int, each: int) -> int:
+    """Verifying takes long for few bytes, so tasks go by pairs rather than by size."""
+    return max(1, min(rows // each, MOST_TASKS))
+
+
+def later_in_crowds(lines: DataFrame, probes: DataFrame, crowded: DataFrame, edits: int) -> DataFrame:
+    """lid of lines that are near an earlier line with which they share a crowded key. ``lines``: lid, line, first.
+
+    Most of a family of variants is near its earliest line, which all members of a key are held against first. What is left is
+    held against all members, in pairs of blocks dealt by key and block."""
+    members = common.materialise(probes.join(crowded.select("k"), "k").select("k", "lid").distinct(), "crowd-keys")
+    texts = lines.join(members.select(F.col("lid").alias("w")), F.col("lid") == F.col("w"), "left_semi")
+    whole = marked(F.col("line"), first=F.col("first"), lid=F.col("lid")).alias("x")
+    crowd = common.materialise(members.join(texts, "lid").select("k", whole), "crowds", "zstd")
+    heads = common.materialise(crowd.groupBy("k").agg(F.min("x").alias("head"), F.count("*").alias("n")), "crowd-heads")
+    beside = crowd.join(heads, "k").where("x.lid <> head.lid").select("k", "n", "x", near_any(F.col("head"), F.col("x"), edits).alias("near"))
+    beside = common.materialise(beside, "beside-heads", "zstd")
+    settled = common.materialise(beside.where("near").select(F.col("x.lid").alias("lid")).distinct(), "settled-lines")
+    rest = beside.where("not near").join(settled, F.col("x.lid") == F.col("lid"), "left_anti").select("k", "n", "x")
+    rest = common.materialise(rest, "unsettled-lines", "zstd")
+    if rest.isEmpty():
+        return settled
+    sizes = rest.groupBy("k").agg(F.count("*").alias("u"), F.first("n").alias("n"))
+    dealt = lambda n: F.pmod(F.xxhash64("x.lid"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    left = rest.drop("n").join(sizes, "k").groupBy("k", "n", dealt("u").alias("p")).agg(F.collect_list("x").alias("xs"))
+    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
+    right = crowd.join(sizes, "k").groupBy("k", dealt("n").alias("q")).agg(F.collect_list("x").alias("ys"))
+    left, right = common.materialise(left, "blocks-left", "zstd"), common.materialise(right, "blocks-right", "zstd")
+    tasks = tasks_for(left.count(), 8)
+    met = left.repartition(tasks, "k", "q").join(right.repartition(tasks, "k", "q"), ["k", "q"])
+    found = F.filter("xs", lambda a: F.exists("ys", lambda b: F.when(b["first"] < a["first"], near_any(a, b, edits)).otherwise(False)))
+    return met.select(F.explode(F.transform(found, lambda a: a["lid"])).alias("lid")).unionByName(settled).distinct()
+
+
+def later_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """lid of each line that is near an earlier one. ``lines``: lid, line, first, of distinct lines."""
+    long = lines.where(F.octet_length("line") >= least)
+    index, probes = index_keys(long, edits), probe_keys(long, edits)
+    # a key of few index rows gives at most so many pairs a probe, however many probe it
+    crowded = common.materialise(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot), "crowded-keys")
+    some = not crowded.isEmpty()
+    if some:
+        index = index.join(crowded, "k", "left_anti")
+    met = index.withColumnRenamed("lid", "i").join(probes.withColumnRenamed("lid", "p"), "k").where("i <> p")
+    met = common.materialise(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct(), "line-candidates")
+    wanted = common.materialise(met.select(F.col("a").alias("w")).union(met.select("b")).distinct(), "candidate-ids")
+    texts = long.join(common.small(wanted), F.col("lid") == F.col("w"), "left_semi").select("lid", marked(F.col("line"), first=F.col("first")).alias("x"))
+    texts = common.materialise(texts, "candidate-lines", "zstd")
+    own = lambda x: texts.select(F.col("lid").alias(x), F.col("x").alias(f"x{x}"))
+    tasks = tasks_for(met.count(), 4000)
+    pairs = met.join(own("a"), "a").repartition(tasks, "b").join(own("b").repartition(tasks, "b"), "b").where(near_any(F.col("xa"), F.col("xb"), edits))
+    found = pairs.select(F.when(F.col("xa.first") < F.col("xb.first"), F.col("b")).otherwise(F.col("a")).alias("lid"))
+    if some:
+        found = found.unionByName(later_in_crowds(long, probes, crowded, edits))
+    return found.distinct()
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_kept, n_copies, n_near, and the numbers of the dropped lines."""
-    said = decisions(docs, edits, least)
-    count = lambda x: F.count_if(F.col("fate") == x)
-    return said.groupBy("_row", "doc_id").agg(
-        F.count("*").alias("n_lines"), count("kept").alias("n_kept"), count("copy").alias("n_copies"), count("near").alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("fate") != "kept", F.col("no")))).alias("dropped"),
-    ).drop("_row")
+    text = F.coalesce("text", F.lit(""))
+    row = common.row_key(docs, F.col("doc_id"), text)
+    distinct = lines_of(docs, row).groupBy("h1", "h2").agg(F.min(F.struct("first", "line")).alias("x"))
+    distinct = common.materialise(distinct.select(F.monotonically_increasing_id().alias("lid"), "x.first", "x.line"), "distinct-lines", "zstd")
+    later = common.materialise(later_lines(distinct, edits, least), "later-lines")
+    # all lines that aren't the first of their copies are copies, so that only first ones need to be told
+    said = distinct.select("lid", F.col("first._row").alias("_row"), F.col("first.no").alias("no")).join(later.withColumn("near", F.lit(True)), "lid", "left")
+    firsts = said.groupBy("_row").agg(F.count("*").alias("firsts"), F.collect_list(F.when(F.col("near").isNull(), F.col("no"))).alias("kept"))
+    rows = docs.select("doc_id", row.alias("_row"), F.size(F.split(text, "\n")).alias("n_lines"))
+    # of rows that repeat an id and a text, the first has the first lines
+    rows = rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.count("*").alias("times"))
+    rows = rows.join(firsts, "_row", "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    mine = F.when((F.col("_k") == 1) & F.col("firsts").isNotNull(), F.col("kept")).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("kept", mine).withColumn("firsts", F.when(F.col("_k") == 1, F.coalesce("firsts", F.lit(0))).otherwise(0).cast("long"))
+    return rows.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), (F.col("n_lines") - F.col("firsts")).alias("n_copies"),
+        (F.col("firsts") - F.size("kept")).alias("n_near"), F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("kept")).alias("dropped"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
