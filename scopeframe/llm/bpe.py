@@ -28,9 +28,10 @@ from . import common, vec
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens of up to SHORT bytes are merged many at a time and remembered by the worker, REMEMBERED at most before a batch;
 #: then the memory is emptied. Longer ones have a queue of their own.
-SHORT, REMEMBERED = 64, 400_000
+SHORT, REMEMBERED = 64, 300_000
 #: Texts are encoded in runs of so many bytes.
-RUN_BYTES = 6 << 20
+RUN_BYTES = 4 << 20
+TRUE = np.ones(1, bool)
 
 
 class RankBitmap:
@@ -115,6 +116,18 @@ class BucketQueue:
             self.buckets[rank] = positions
             self.bitmap.add(rank)
 
+    def put_each(self, ranks: list[int], positions: list[int]) -> None:
+        buckets, fresh = self.buckets, []
+        for rank, position in zip(ranks, positions, strict=True):
+            bucket = buckets.get(rank)
+            if bucket is not None:
+                bucket.append(position)
+            else:
+                buckets[rank] = [position]
+                fresh.append(rank)
+        for rank in fresh:
+            self.bitmap.add(rank)
+
     def take(self) -> tuple[int, list[int]] | None:
         rank = self.bitmap.least()
         if rank < 0:
@@ -205,14 +218,16 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         found = [self.find(x) for x in texts]
-        new: set[str] = set()
+        get, new = self.known.get, set()
         for x in found:
-            new.update(x)
-        known = self.known
-        long = self.learn({x for x in new if x not in known})
+            ids = list(map(get, x))
+            if None in ids:
+                new.update([piece for piece, own in zip(x, ids, strict=True) if own is None])
+        long = self.learn(new)
+        take = self.known.__getitem__
         if not long:
-            return [b"".join(map(self.known.__getitem__, x)) for x in found]
-        return [b"".join([self.known[y] if y in self.known else long[y] for y in x]) for x in found]
+            return [b"".join(map(take, x)) for x in found]
+        return [b"".join([long[y] if y in long else take(y) for y in x]) for x in found]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -271,15 +286,18 @@ def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable, rank
             queue.put(int(wanted[run[0]]), run.tolist())
     while (least := queue.take()) is not None:
         rank, bucket = least
-        at = np.unique(np.array(bucket))
+        at = np.array(bucket)
+        at.sort()
         at = at[wanted[at] == rank]
         if not at.size:
             continue
         own = owner[at]
-        first = np.r_[True, own[1:] != own[:-1]]
-        if not first.all():
-            queue.put(rank, at[~first].tolist())
-            at = at[first]
+        same = own[1:] == own[:-1]
+        if same.any():
+            again = at[1:][same & (at[1:] != at[:-1])]  # a position may have been put here twice
+            at = at[np.concatenate((TRUE, ~same))]
+            if again.size:
+                queue.put(rank, again.tolist())
         gone = after[at]
         end = after[gone]
         token[at], after[at], wanted[gone], wanted[at] = rank, end, -1, -1
@@ -289,12 +307,11 @@ def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable, rank
         left = before[at]
         inside = (left >= 0) & (owner[left] == owner[at])
         h = left[inside]
-        both = np.r_[i, h]
-        new = pairs(token[both], np.r_[token[k], np.full(h.size, rank)])
+        both = np.concatenate((i, h))
+        new = pairs(token[both], np.concatenate((token[k], np.full(h.size, rank))))
         wanted[both] = new
         some = new >= 0
-        for r, position in zip(new[some].tolist(), both[some].tolist(), strict=True):
-            queue.put(r, [position])
+        queue.put_each(new[some].tolist(), both[some].tolist())
     heads = np.zeros(n + 1, bool)  # the last byte of a part gives the next head
     heads[np.r_[0, np.cumsum(sizes)[:-1]]] = True
     at = np.flatnonzero(heads)
@@ -316,12 +333,24 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+#: The last codec that a worker has built, which its next tasks use again.
+_LAST: dict[tuple[bytes, str], Codec] = {}
+
+
+def codec_of(rank_file: bytes, pattern: str) -> Codec:
+    key = (hashlib.sha256(rank_file).digest(), pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Codec(rank_file, pattern)
+    return _LAST[key]
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for. One pass, no shuffle."""
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(content.value, pattern)
+        codec = codec_of(content.value, pattern)
         for batch in batches:
             _, offs = vec.flat(batch.column("text"))
             for at, to in vec.slices(offs, RUN_BYTES):
@@ -340,7 +369,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.tidy(run), schema)
 
 
 def production(docs: DataFrame, with_ids: bool = False) -> DataFrame:
