@@ -7,7 +7,7 @@ batched matrix products give each context's normaliser, so that token probabilit
 
 1. Counts of all training tokens (by 64-bit hash) are summed up before and after one shuffle.
 2. Rounds of parameter mixing: each task trains on its own documents from the same start, and the parameters are averaged
-   by tokens. The rounds part all positions: each is trained on in one round. A task sends CLASSES * SIZE numbers, however
+   by tokens. The rounds part all texts, so that each position is trained on in one round. A task sends CLASSES * SIZE numbers, however
    much it reads.
 3. Scoring is one scan with the HEAD most frequent words' counts broadcast (a bounded table). Other words go through a join
    with the full counts. No word is dropped.
@@ -19,6 +19,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ CLASSES = TOP + 1 + TAILS
 ROUNDS, BATCH, NOISE, RATE = 2, 512, 96, 0.1
 #: Distinct words that a counting task holds at once.
 HELD = 200_000
+TRUE = np.ones(1, bool)
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         if held:
             yield give()
 
-    rows = docs.mapInArrow(run, "h long, tail int, c long")
+    rows = docs.mapInArrow(common.tidy(run), "h long, tail int, c long")
     return common.materialise(rows.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c")), "token-counts")
 
 
@@ -190,24 +192,39 @@ def start(noise: np.ndarray) -> Model:
 def train(model: Model, noise: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> int:
     """Noise-contrastive steps over (two before, before, class) triples, by AdaGrad, in place. How many triples."""
     rng = np.random.default_rng(9)
-    grown = [np.full_like(x, 1e-8) for x in (model.r, model.out, model.c1, model.c2, model.bias)]
     log_noise = np.log(NOISE * noise).astype(np.float32)
     cumulative = np.cumsum(noise)
 
-    def step(k: int, param: np.ndarray, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-        if rows is None:
-            grown[k] += grad * grad
-            param -= rate * grad / np.sqrt(grown[k])
-        else:
-            grown[k][rows] += grad * grad
-            param[rows] -= rate * grad / np.sqrt(grown[k][rows])
-
     def by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
+        order = rows.argsort(kind="stable")
         rows = rows[order]
-        at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        at = np.flatnonzero(np.concatenate((TRUE, rows[1:] != rows[:-1])))
         return rows[at], np.add.reduceat(grads[order], at, 0)
 
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        """In place."""
+        np.clip(x, -30, 30, out=x)
+        np.negative(x, out=x)
+        np.exp(x, out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
+
+    # targets with their biases in the last column
+    target_of = np.concatenate((model.out, model.bias[:, None]), 1)
+    size, grown = SIZE, [np.full_like(x, 1e-8) for x in (model.r, target_of, model.c1, model.c2)]
+
+    def step(k: int, param: np.ndarray, grad: np.ndarray, rows: np.ndarray) -> None:
+        squares = grown[k][rows]
+        squares += grad * grad
+        grown[k][rows] = squares
+        np.sqrt(squares, out=squares)
+        param[rows] -= rate * grad / squares
+
+    def step_all(k: int, param: np.ndarray, grad: np.ndarray) -> None:
+        grown[k] += grad * grad
+        param -= rate * grad / np.sqrt(grown[k])
+
+    ones = np.ones((BATCH, 1), np.float32)
     seen = 0
     for two, one, target in parts:
         order = rng.permutation(target.size)
@@ -215,24 +232,29 @@ def train(model: Model, noise: np.ndarray, parts: Iterator[tuple[np.ndarray, np.
             pick = order[at : at + BATCH]
             x1, x2, y = one[pick], two[pick], target[pick]
             k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
-            v1, v2, vy, vk = model.r[x1], model.r[x2], model.out[y], model.out[k]
-            q = v1 @ model.c1 + v2 @ model.c2
-            real = (q * vy).sum(1) + model.bias[y] - log_noise[y]
-            false = q @ vk.T + model.bias[k] - log_noise[k]
-            g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_q = g_real[:, None] * vy + g_false @ vk
+            v1, v2, ty, tk = model.r[x1], model.r[x2], target_of[y], target_of[k]
+            vy, vk = ty[:, :size], tk[:, :size]
+            q = v1 @ model.c1
+            q += v2 @ model.c2
+            real = np.einsum("ij,ij->i", q, vy)
+            real += ty[:, size] - log_noise[y]
+            false = q @ vk.T
+            false += tk[:, size] - log_noise[k]
+            g_real = -sigmoid(np.negative(real, out=real))[:, None]
+            g_false = sigmoid(false)
+            g_q = g_false @ vk
+            g_q += g_real * vy
             n = np.float32(1 / y.size)
-            rows, g = by_row(np.r_[y, k], np.concatenate([g_real[:, None] * q, g_false.T @ q]) * n)
-            step(1, model.out, g, rows)
-            rows, g = by_row(np.r_[y, k], np.concatenate([g_real, g_false.sum(0)]) * n)
-            step(4, model.bias, g, rows)
-            rows, g = by_row(np.r_[x1, x2], np.concatenate([g_q @ model.c1.T, g_q @ model.c2.T]) * n)
+            q1 = np.concatenate((q, ones[: y.size]), 1)  # a bias's gradient is that of a constant
+            rows, g = by_row(np.concatenate((y, k)), np.concatenate((g_real * q1, g_false.T @ q1)) * n)
+            step(1, target_of, g, rows)
+            rows, g = by_row(np.concatenate((x1, x2)), np.concatenate((g_q @ model.c1.T, g_q @ model.c2.T)) * n)
             g1, g2 = v1.T @ g_q * n, v2.T @ g_q * n
             step(0, model.r, g, rows)
-            step(2, model.c1, g1)
-            step(3, model.c2, g2)
+            step_all(2, model.c1, g1)
+            step_all(3, model.c2, g2)
         seen += target.size
+    model.out[:], model.bias[:] = target_of[:, :size], target_of[:, size]
     return seen
 
 
@@ -252,14 +274,12 @@ def class_of(places: vec.Places, classes: np.ndarray, h: np.ndarray, tail: np.nd
     return np.where(h == END, TOP, cls), at
 
 
-def round_of(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The one round that trains on each position. It is told by the text and the place in it alone, so rounds agree on it
-    however a scan deals its rows."""
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    size = np.diff(np.r_[first, h.size])
-    key = vec.mix(h + (np.arange(h.size) - np.repeat(first, size)).astype(np.uint64) * vec.M3)
-    text = np.repeat(np.add.reduceat(key, first), size)
-    return (vec.mix(key + text) >> np.uint64(40)) % np.uint64(ROUNDS)
+def of_round(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
+    """The texts that a round trains on. It is told by the text alone, so rounds agree on it however a scan deals its rows."""
+    for batch in batches:
+        buf, offs = vec.flat(batch.column("text"))
+        bounds = offs.tolist()
+        yield batch.filter(pa.array([zlib.crc32(buf[a:b]) % ROUNDS == round_ for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
 
 
 def fit(docs: DataFrame, vocab: Vocabulary) -> Model:
@@ -276,20 +296,20 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> Model:
             own = Model.of(now.value.copy())
 
             def parts():
-                for _, h, tail, rows in pieces(batches):
+                for _, h, tail, rows in pieces(of_round(batches, round_)):
                     cls, _ = class_of(places, classes, h, tail)
-                    two, one = contexts(cls, rows)
-                    chosen = round_of(h, rows) == np.uint64(round_)
-                    yield two[chosen], one[chosen], cls[chosen]
+                    yield *contexts(cls, rows), cls
 
             seen = train(own, noise, parts(), RATE / (1 + round_))
             if seen:
                 x = own.flat().astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.size, dtype=np.int32)), pa.array(x), pa.array(np.full(x.size, float(seen)))], ["k", "x", "n"])
 
-        mixed = docs.mapInArrow(run, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mixed = docs.mapInArrow(common.tidy(run), "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        now.destroy()
         if len(mixed):
             model = mixed.sort_values("k")["x"].to_numpy()
+    sent.destroy()
     return Model.of(model)
 
 
@@ -328,7 +348,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
     names = ["doc_id", "_row", "held_out", "n_tokens", "n_known", "base_score", "score", "_h", "_times", "_cls"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, _row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, _h array<long>, _times array<int>, _cls array<int>"
-    first = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, schema), "scored")
+    first = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(common.tidy(run), schema), "scored")
     rare = first.where(F.size("_h") > 0).select("_row", F.explode(F.arrays_zip("_h", "_times", "_cls")).alias("x"))
     rare = rare.select("_row", F.col("x._h").alias("h"), F.col("x._times").alias("times"), F.col("x._cls").alias("cls"))
     # bounded by CLASSES entries each
