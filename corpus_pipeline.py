@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(spark, before, f"stage-{name}-")  # all that later stages don't read
     return docs

@@ -257,7 +257,9 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 def _matcher(sent):
     @F.arrow_udf("array<long>")
     def items(column: pa.Array) -> pa.Array:
-        return pa.array(match(sent.value, column), pa.list_(pa.int64()))
+        found = match(sent.value, column)
+        common.give_back()
+        return pa.array(found, pa.list_(pa.int64()))
 
     return items
 

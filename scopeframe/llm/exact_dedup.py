@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
     rows = rows.select("doc_id", "_row", F.sha2("_t", 256).alias("_sha"), F.octet_length("_t").cast("long").alias("_bytes"), "_t")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     terms = chunked(rows, "doc_id", "_row", "_sha", "_bytes").mapInArrow(
-        _hash_chunks, f"doc_id {id_type}, _row long, _sha string, _bytes long, _f1 long, _f2 long"
+        common.tidy(_hash_chunks), f"doc_id {id_type}, _row long, _sha string, _bytes long, _f1 long, _f2 long"
     )
     sums = terms.groupBy("_row").agg(
         *(F.first(c).alias(c) for c in ("doc_id", "_sha", "_bytes")),
@@ -150,8 +150,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without copies, with its own columns."""
     keyed = common.keyed(docs)
     groups = row_groups(keyed.select("_doc.doc_id", "_doc.text", "_row"), F.col("_row"))
-    kept = common.materialise(groups.where("_row_kept").select("_row"), "kept")
-    return keyed.join(kept, "_row", "left_semi").select("_doc.*")
+    gone = common.materialise(groups.where("not _row_kept").select("_row"), "copies")
+    return keyed.join(common.small(gone), "_row", "left_anti").select("_doc.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

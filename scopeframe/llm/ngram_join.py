@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (count + 1) * bands, bands, dtype=np.int32)), pa.array(bands_.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, count) for c in ("_row", "_id")), pa.array(c1), pa.array(c2), pa.array(sizes), lists], ["_row", "_id", "c1", "c2", "n", "bands"])
 
-    return common.materialise(docs.mapInArrow(run, "_row long, _id long, c1 long, c2 long, n long, bands array<long>"), "signatures")
+    return common.materialise(docs.mapInArrow(common.tidy(run), "_row long, _id long, c1 long, c2 long, n long, bands array<long>"), "signatures")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def near_rows(keyed: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     classes = common.materialise(classes.withColumn("rep", F.col("least._row")), "set-classes")
     pairs = blocks(classes, candidates(classes), similarity)
     met = pairs.join(docs.select("_row", "text"), F.col("rep") == F.col("_row")).drop("_row")
-    found = met.groupBy("root", "kind", "at", "p", "q").applyInArrow(verify(similarity, words), "rep long, links long, root long")
+    found = met.groupBy("root", "kind", "at", "p", "q").applyInArrow(common.tidy(verify(similarity, words)), "rep long, links long, root long")
     found = common.materialise(found, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = graph.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each group, that of the least id; its own columns."""
     keyed = common.keyed(docs)
-    kept = common.materialise(near_rows(keyed, **settings).where("_row = _head").select("_row"), "kept")
-    return keyed.join(kept, "_row", "left_semi").select("_doc.*")
+    gone = common.materialise(near_rows(keyed, **settings).where("_row <> _head").select("_row"), "near-copies")
+    return keyed.join(common.small(gone), "_row", "left_anti").select("_doc.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[n
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(weights)], ["place", "weight"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "text", "toxic").mapInArrow(extract, f"doc_id {id_type}, places array<int>, toxic int")
-    model = found.repartition(1).mapInArrow(learn, "place long, weight double").toPandas()
+    found = texts.select("doc_id", "text", "toxic").mapInArrow(common.tidy(extract), f"doc_id {id_type}, places array<int>, toxic int")
+    model = found.repartition(1).mapInArrow(common.tidy(learn), "place long, weight double").toPandas()
     return model["place"].to_numpy(), model["weight"].to_numpy()
 
 
@@ -141,6 +141,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray]):
             some = table[at] != 0
             key = np.unique(rows[some] << BITS | at[some])
             out[a:b] += np.bincount(key >> BITS, table[key & ((1 << BITS) - 1)], b - a)
+        common.give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return score
