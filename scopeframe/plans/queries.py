@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import http, names, responses, texts
 from ..operators import emit, parse, resolve, suggest, worklist
-from ..providers import ladder, presets
+from ..providers import ladder, presets, strategies
 from ..sources import inline_scripts
+from ..sources.files import read_files, write_files
 from .rename import Renaming, rename
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Queries that no SQL gives; tests hold them against plain Python.
 WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: For the table of request bodies: the strategies, a schema, and what stands for the user's message in the SQL.
+STRATEGIES = (strategies.JsonSchema, strategies.ForcedTool, strategies.NudgedTool, strategies.PromptedJson, strategies.MessagesNative, strategies.MessagesTool)
+SCHEMA, MARK = {"type": "object", "properties": {"newName": {"type": "string"}}}, "<<message>>"
 
 
 def query(sql: str | None = None):
@@ -476,6 +484,120 @@ def preset_table(spark, sf_dir):
     return presets.presets_table(spark).withColumn("ladder", F.array_join("ladder", ","))
 
 
+def told(df: DataFrame, rows_of: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` gives for each row of ``df``, a batch at a time."""
+    names_ = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [row for x in batch.to_pylist() for row in rows_of(x)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names_)
+
+    return df.mapInArrow(run, schema)
+
+
+def quoted(text: str | None) -> str:
+    return "null" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    listed = ", ".join("(" + ", ".join(quoted(x) if x is None or isinstance(x, str) else str(x).lower() for x in row) + ")" for row in rows)
+    return f"(values {listed}) as v({columns})"
+
+
+#: What each JSON mode asks for, by kind of service: the ladder's strategies, or none where the mode doesn't go with the kind.
+MODE_TABLE = [
+    ("ladder", "openai-json-schema,forced-tool-call,prompt", "anthropic-tool-call-and-prompt"),
+    ("openai-json-schema", "openai-json-schema", None),
+    ("anthropic-native", None, "anthropic-native"),
+    ("forced-tool-call", "forced-tool-call", None),
+    ("tool-call-and-prompt", "tool-call-and-prompt", None),
+    ("prompt", "prompt", None),
+]
+
+
+@query(f"""select p.name as preset, v.mode, case when p.name = 'anthropic' then v.messages else v.chat end as ladder,
+ case when p.name = 'anthropic' then v.messages else v.chat end is not null as allowed,
+ case when (case when p.name = 'anthropic' then v.messages else v.chat end) is not null then v.mode <> 'ladder' end as pinned
+ from ({presets_sql()}) p, {values(MODE_TABLE, "mode, chat, messages")}""")
+def mode_matrix(spark, sf_dir):
+    """Each preset with each JSON mode: whether it is allowed, the ladder's strategies, and whether the ladder is pinned."""
+    rows = []
+    for preset in presets.PRESETS.values():
+        for mode in presets.JsonMode:
+            try:
+                ladder_ = presets.Settings.of(preset, json_mode=mode.value, api_key="k").ladder()
+            except ValueError:
+                rows.append((preset.name, mode.value, None, False, None))
+            else:
+                rows.append((preset.name, mode.value, ",".join(x.name for x in ladder_.strategies), True, ladder_.locked == 0))
+    return spark.createDataFrame(rows, "preset string, mode string, ladder string, allowed boolean, pinned boolean")
+
+
+@query(f"""select p.name as preset, p.p_partkey, line_no, case line_no
+ when 1 then '* provider: ' || p.name when 2 then '* model: ' || case when odd then p_name || ' (command line)' else p.model || ' (default)' end
+ when 3 then '* base URL: ' || p.base_url || ' (default)' when 4 then '* API key: ' || case when odd then 'set (command line)' else 'not set' end
+ when 5 then '* JSON mode: ladder (default)' when 6 then '* context size: ' || case when odd then p_size || ' (command line)' else '500 (default)' end
+ when 7 then '* timeout: ' || p.timeout_seconds || 's (default)' when 8 then '* input: a.js' else '* output: ' || case when odd then 'b.js' else 'stdout' end end as line
+ from (select p.*, part.*, p_partkey % 2 = 1 as odd from ({presets_sql()}) p, part) p, (select unnest(range(1, 10))::bigint as line_no)""")
+def verbose_report(spark, sf_dir):
+    """The report of settings for each part and preset: of odd keys, name, size and key are given on the command line."""
+
+    def lines(part: dict) -> list[tuple]:
+        odd = part["p_partkey"] % 2 == 1
+        given = {"model": part["p_name"], "api_key": "secret", "context_size": part["p_size"]} if odd else {}
+        out = []
+        for preset in presets.PRESETS.values():
+            settings = presets.Settings.of(presets.replace_variable(preset, ""), **given)
+            out += [(preset.name, part["p_partkey"], n, line) for n, line in enumerate(settings.report("a.js", "b.js" if odd else None), 1)]
+        return out
+
+    return told(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), lines, "preset string, p_partkey long, line_no long, line string")
+
+
+@query("select page_id, ''::varchar as output, 0::bigint as symbols from pages")
+def empty_sources(spark, sf_dir):
+    """A source without code stays so, and asks for no names."""
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(":0")).alias("source_id"), F.lit("").alias("code"))
+    done = rename(rows, suggest.suffix("_renamed"))
+    counted = done.log().groupBy("source_id").agg(F.count("*").alias("symbols"))
+    return page_of(done.output.join(counted, "source_id", "left")).select("page_id", "output", F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"))
+
+
+@query(f"select page_id, code, octet_length(encode(code))::bigint as n_bytes from ({CODE})")
+def files_round_trip(spark, sf_dir):
+    """Scripts written as files, each in a folder of its page, and read back."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = f"{folder.removeprefix('file://').removeprefix('file:').rstrip('/')}/scripts-{uuid.uuid4().hex}"
+    rows = inline_scripts(table(spark, sf_dir, "pages")).select(F.concat(F.lit("/root/"), F.col("page_id").cast("string"), F.lit("/script.js")).alias("source_id"), "code")
+    written = write_files(rows, folder, text="code", root="/root")
+    written.select(F.sum("n_bytes")).first()
+    back = read_files(spark, f"file://{folder}/*")
+    page = F.regexp_extract("source_id", r"/(\d+)/script\.js$", 1).cast("long")
+    return back.select(page.alias("page_id"), "code", F.octet_length("code").cast("long").alias("n_bytes"))
+
+
+def bodies_sql() -> str:
+    """Each strategy's request body, as a text around the user's message."""
+    rows = []
+    for kind in STRATEGIES:
+        text = json.dumps(kind(None, "http://service", None, "m").body("system", MARK, SCHEMA))
+        before, after = text.split(MARK)
+        rows.append((kind.name, before, after))
+    return f"select p_partkey, v.strategy, v.before || p_name || v.after as body from part, {values(rows, 'strategy, before, after')}"
+
+
+@query(bodies_sql())
+def request_bodies(spark, sf_dir):
+    """What each strategy sends for a message that holds a part's name."""
+
+    def bodies(part: dict) -> list[tuple]:
+        return [(part["p_partkey"], kind.name, json.dumps(kind(None, "http://service", None, "m").body("system", part["p_name"], SCHEMA))) for kind in STRATEGIES]
+
+    return told(table(spark, sf_dir, "part").select("p_partkey", "p_name"), bodies, "p_partkey long, strategy string, body string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each page: binding, final name and rewritten script."""
     done = renamed(spark, sf_dir, suggest.suffix("_renamed"))

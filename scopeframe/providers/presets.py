@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,11 @@ PRESETS = {
 }
 
 
+def replace_variable(preset: Preset, variable: str) -> Preset:
+    """The preset with another environment variable for the key; empty: none."""
+    return replace(preset, key_variable=variable)
+
+
 class JsonMode(Enum):
     LADDER = "ladder"
     JSON_SCHEMA = "openai-json-schema"

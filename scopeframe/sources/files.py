@@ -34,8 +34,9 @@ def read_text(spark: SparkSession, argument: str) -> DataFrame:
     return spark.createDataFrame([(argument, code)], "source_id string, code string")
 
 
-def write_files(df: DataFrame, folder: str, name: str = "source_id", text: str = "output") -> DataFrame:
-    """Each row's text as a file of its own, by the last part of its name, nothing added. The table of what was written.
+def write_files(df: DataFrame, folder: str, name: str = "source_id", text: str = "output", root: str = "") -> DataFrame:
+    """Each row's text as a file of its own, nothing added, by its name's path below ``root``, or without a root by the last part
+    of its name. The table of what was written. A null name, and one that isn't below the root, is an error.
 
     Files are written beside their place and then moved, so a task that is run again leaves no half file. ``folder`` must be
     one that executors share."""
@@ -47,7 +48,15 @@ def write_files(df: DataFrame, folder: str, name: str = "source_id", text: str =
         for batch in batches:
             paths, sizes = [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = os.path.join(folder, key.rstrip("/").rpartition("/")[2])
+                if key is None:
+                    raise ValueError("a text without a name can't be written")
+                inner = key.rstrip("/").rpartition("/")[2]
+                if root:
+                    inner = key.partition(root.rstrip("/") + "/")[2]
+                    if not inner or ".." in inner.split("/"):
+                        raise ValueError(f"{key} isn't below {root}")
+                path = os.path.join(folder, inner)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
                 part = f"{path}.{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
                     f.write((value or "").encode())

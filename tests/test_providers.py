@@ -254,3 +254,13 @@ def test_cli_codes(spark, tmp_path, capsys):
         with pytest.raises(SystemExit) as e:
             cli.main(argv)
         assert e.value.code == code
+
+
+def test_files_keep_their_paths_below_the_root(spark, tmp_path):
+    rows = [("/in/a/x.js", "one"), ("/in/b/x.js", "two")]
+    df = spark.createDataFrame(rows, "source_id string, output string")
+    assert write_files(df, str(tmp_path / "out"), root="/in").count() == 2
+    assert ((tmp_path / "out/a/x.js").read_text(), (tmp_path / "out/b/x.js").read_text()) == ("one", "two")
+    for bad in ("/elsewhere/x.js", None):
+        with pytest.raises(Exception, match="below|without a name"):
+            write_files(spark.createDataFrame([(bad, "t")], "source_id string, output string"), str(tmp_path / "out"), root="/in").collect()
