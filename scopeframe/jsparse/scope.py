@@ -19,6 +19,11 @@ class Scope:
     end: int
     exit: int = 0
     names: dict[str, int] = field(default_factory=dict)
+    passed: set[str] = field(default_factory=set)  # of ``var``s that are declared inside and belong further out
+
+
+#: Kinds that may be declared once in a scope, and beside nothing else.
+ONCE = frozenset(("let", "const", "class", "import", "using"))
 
 
 @dataclass
@@ -47,11 +52,40 @@ class _Walk:
         _, name, start, end, form = node
         names = self.scopes[scope].names
         symbol = names.get(name)
+        self.check(name, kind, scope, None if symbol is None else self.symbols[symbol][5])
         if symbol is None:
             symbol = names[name] = len(self.symbols)
             self.symbols.append((symbol, name, scope, start, end, kind))
         self.found.append((name, symbol, scope, start, end, form or "plain"))
 
+    def check(self, name: str, kind: str, scope: int, before: str | None) -> None:
+        """Raise ParseError for a name that its scope, or one that a ``var`` passes, has already."""
+        here = self.scopes[scope]
+        clash = before is not None and (kind in ONCE or before in ONCE or kind == before and kind in ("parameter", "catch"))
+        if kind in ONCE:
+            clash = clash or name in here.passed
+            if here.kind == "block" and here.parent is not None and self.scopes[here.parent].kind == "catch":
+                clash = clash or name in self.scopes[here.parent].names
+        if clash:
+            raise ParseError(f"{name} is declared already")
+
+    def pass_out(self, node: tuple, scope: int, target: int) -> None:
+        """Note the names of a ``var`` pattern in the scopes between the statement and the scope they belong to."""
+        what = node[0]
+        if what == "id":
+            while scope != target:
+                here = self.scopes[scope]
+                at = here.names.get(node[1])
+                if at is not None and self.symbols[at][5] in ONCE:
+                    raise ParseError(f"{node[1]} is declared already")
+                here.passed.add(node[1])
+                scope = here.parent
+        elif what in ("object", "array"):
+            for x in node[1]:
+                self.pass_out(x[1] if what == "object" else x, scope, target)
+        elif what in ("spread", "assign"):
+            self.pass_out(node[1], scope, target)
+
     def hoisted(self, scope: int) -> int:
         while self.scopes[scope].kind not in ("program", "function", "arrow", "static"):
             scope = self.scopes[scope].parent
@@ -97,6 +131,7 @@ class _Walk:
             kind = node[1]
             target = self.hoisted(scope) if kind == "var" else scope
             for pattern, value in node[2]:
+                self.pass_out(pattern, scope, target)
                 self.bind(pattern, target, scope, kind)
                 if value is not None:
                     self.visit(value, scope)

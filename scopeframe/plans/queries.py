@@ -90,6 +90,16 @@ def parse_errors(spark, sf_dir):
     return rows.select("page_id", (F.col("parse_error").isNotNull() & (F.size("symbols") == 0)).alias("failed"))
 
 
+@query(f"select page_id, v.case_no::bigint as case_no, v.failed from ({CODE}), (values (0, true), (1, true), (2, false)) as v(case_no, failed)")
+def redeclaration_errors(spark, sf_dir):
+    """A second declaration of the script's name, by let beside it, by var inside a block of a let, and in a block of its own."""
+    found = []
+    for k, (before, after) in enumerate((("''", ";let t=1"), ("'{let t;{'", "}}"), ("''", ";{let t=1}"))):
+        rows = page_of(parse.parse(scripts(spark, sf_dir, before, after)))
+        found.append(rows.select("page_id", F.lit(k).cast("long").alias("case_no"), F.col("parse_error").isNotNull().alias("failed")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(f"""with s as (select page_id, ';function w(q){{' || code || '}}var z=1;' as src, strpos(code, 't=') as t, length(code) as n from ({CODE})),
 r as (select page_id, 'w' as name, length(src) as size, 10 as decl_start from s
  union all select page_id, 'z', length(src), n + 20 from s

@@ -60,6 +60,32 @@ def test_names(code, bound, free):
     assert names(code) == (bound, free)
 
 
+@pytest.mark.parametrize(
+    "code",
+    [
+        "let a; let a", "const a = 1; class a {}", "let a; var a", "var a; let a", "function a() {} let a", "let a; function a() {}", "class a {} class a {}",
+        "let [a, {b: a}] = c", "{ let a; { var a } }", "{ { var a } let a }", "{ var {x: [a]} = 1; const a = 2 }", "function f(a) { let a }", "function f(a, a) {}",
+        "(a, [a]) => 1", "try {} catch (e) { let e }", "try {} catch ([e, e]) {}", "import a from 'm'; let a", "import {a, b as a} from 'm'", "for (let i of j) { var i }",
+        "switch (x) { case 1: let a; case 2: let a }",
+    ],
+)
+def test_names_are_declared_once(code):
+    with pytest.raises(ParseError, match="declared already"):
+        analyse(code)
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        "var a; var a", "var a; function a() {}", "let a; { let a }", "let a; { { let a } }", "function f(a) { var a; function a() {} }", "function f(a) { { let a } }",
+        "try {} catch (e) { var e }", "try {} catch (e) { { let e } }", "let f = function f() { let f }", "class C { m(C) { let D } }", "{ var a } let b", "() => { var a } ; let a",
+        "for (let i = 0;;) { let i }", "function f() { var a; { var a } } { let a }", "if (x) { let a } else { let a }", "for (var i of j); for (var i of j);",
+    ],
+)
+def test_names_may_be_declared_again_elsewhere(code):
+    analyse(code)
+
+
 def test_offsets_are_bytes():
     found = analyse("const café = 1; function f(a) { return café + a }")
     assert found.symbols[0][3:5] == (6, 11)
