@@ -8,7 +8,8 @@ are retrieved, and verified on the whole document: 0.8 of the five-word runs tha
 the answer, must be in it. The answer is an item's last line, or else its last sentence, or else its last third.
 
 The index is broadcast only up to INDEX_BYTES of items; more items are taken in as many parts, with statistics over all items.
-One scan of the documents a part, no shuffle.
+One scan of the documents a part, whose broadcast goes before the next is made. A single part needs no shuffle; of more, hashes of
+the texts that hold an item are shuffled.
 
 Defined results: null and empty texts, and those without words, match nothing; items without words match nothing; an item of
 fewer than five words must be found as a run of all its words; items of equal texts match alike; repeated rows give repeated
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from dataclasses import dataclass
 
 import numpy as np
@@ -231,8 +233,9 @@ def match(index: Index, texts: pa.Array) -> list[list]:
     return out
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """An index for each part of the items; a part's size is bounded, and statistics are over all items."""
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
+    """The number of parts of the items, and an index for each, built as it is asked for; a part's size is bounded, and
+    statistics are over all items."""
     rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +249,15 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     words = rows.mapInArrow(terms, "term long, length double")
     total = words.agg(F.coalesce(F.sum("length"), F.lit(0.0))).first()[0]
     frequency = words.groupBy("term").agg(F.count("*").alias("df"))
-    for part in range(parts):
+
+    def part_index(part: int) -> Index:
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else rows
         known = frequency if parts == 1 else frequency.join(mine.mapInArrow(terms, "term long, length double").select("term").distinct(), "term", "left_semi")
         # items of like length share a block, so that its least threshold is near all of theirs
         items = sorted(((x["item_id"], x["text"]) for x in mine.toLocalIterator()), key=lambda x: (len(x[1]), x))
-        yield build([x[0] for x in items], [x[1] for x in items], {x["term"]: x["df"] for x in known.toLocalIterator()}, count, total / max(count, 1))
+        return build([x[0] for x in items], [x[1] for x in items], {x["term"]: x["df"] for x in known.toLocalIterator()}, count, total / max(count, 1))
+
+    return parts, map(part_index, range(parts))
 
 
 def _matcher(sent):
@@ -264,21 +270,39 @@ def _matcher(sent):
     return items
 
 
-def contamination(spark: SparkSession, benchmark: DataFrame, text: Column) -> Column:
-    """The sorted ids of the items that a text holds."""
-    columns = []
-    for index in indexes(benchmark):
-        columns.append(_matcher(spark.sparkContext.broadcast(index))(F.coalesce(text, F.lit(""))))
-    return columns[0] if len(columns) == 1 else F.array_sort(F.concat(*columns))
+def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` with a struct ``_doc`` of its columns, and the column of the sorted ids of the items that a text holds.
+
+    One part of an index is a column of a single scan. Of more, each has a scan of its own, which writes the few texts that hold
+    an item of it; its broadcast is destroyed before the next is made, so that an executor holds one part at a time."""
+    spark = docs.sparkSession
+    text = F.coalesce("_doc.text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("_doc"))
+    parts, built = indexes(benchmark)
+    if parts == 1:
+        return rows, _matcher(spark.sparkContext.broadcast(next(built)))(text)
+    key = common.row_key(rows, text)
+    found = []
+    for index in built:
+        sent = spark.sparkContext.broadcast(index)
+        hits = rows.select(key.alias("_text"), _matcher(sent)(text).alias("_items"))
+        found.append(common.materialise(hits.where(F.size("_items") > 0).dropDuplicates(["_text"]), "part-items"))
+        sent.destroy()
+    merged = reduce(DataFrame.unionByName, found).groupBy("_text").agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias("_items"))
+    merged = common.materialise(merged, "all-items")
+    # a text's items are few words; a join on a hash of the text moves the texts only where hits are too many to broadcast
+    met = rows.withColumn("_text", key).join(common.small(merged), "_text", "left")
+    return met, F.coalesce("_items", F.array().cast("array<bigint>"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return docs.where(F.size(contamination(docs.sparkSession, benchmark, F.col("text"))) == 0)
+    rows, items = contamination(docs, benchmark)
+    return rows.where(F.size(items) == 0).select("_doc.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_ids, n_items, contaminated for each document."""
-    docs = common.table(spark, sf_dir, "documents")
-    items = contamination(spark, common.table(spark, sf_dir, "benchmark"), F.col("text"))
-    rows = docs.select("doc_id", items.alias("item_ids"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, items = contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    rows = rows.select("_doc.doc_id", items.alias("item_ids"))
     return rows.withColumns({"n_items": F.size("item_ids"), "contaminated": F.size("item_ids") > 0})
