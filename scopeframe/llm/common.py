@@ -48,6 +48,19 @@ def small(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def least(rows: DataFrame, hashed: Column, most: int, *ties: str) -> DataFrame:
+    """The ``most`` rows of least ``hashed`` (a long), by ``ties`` where equal. Hashes are counted in 2**16 bins first, so that
+    only the rows up to the bin in which the last one lies are ordered, not ``most`` rows of each partition."""
+    bin_ = F.shiftright(hashed, 48)
+    counts = rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    total = 0
+    for x in counts:
+        total += x["n"]
+        if total >= most:
+            return rows.where(bin_ <= x["bin"]).orderBy(hashed, *ties).limit(most)
+    return rows
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """_row (a key of its own for each row, fixed as the table is written) and _doc, all columns of ``docs``."""
     return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "keyed")

@@ -163,7 +163,7 @@ def grow(sums: DataFrame, score: Column, depth: int = DEPTH) -> Column:
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log-odds of block by the trees)."""
     rows = lexical(pages)
-    sample = rows.where("_said is not null").orderBy(F.xxhash64("host", "path"), "page_id").limit(LABELLED)
+    sample = common.least(rows.where("_said is not null"), F.xxhash64("host", "path"), LABELLED, "page_id")
     sample = common.materialise(sample.withColumn("_y", (F.col("_said") == "block").cast("int")), "labelled-urls")
     n, k = sample.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     prior = (k + 1) / (n + 2)

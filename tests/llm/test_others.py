@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -116,10 +117,22 @@ def test_decontamination(spark, odd, none, monkeypatch):
     real = [(k, t) for k, t in items if t]
     want = {i: contamination_brute(real, t) for i, t in docs}
     assert sum(map(bool, want.values())) > 10
+    matcher = decontaminate._matcher
     for size in (decontaminate.INDEX_BYTES, 2000):
         monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
-        got = df.select("doc_id", decontaminate.contamination(spark, bench, F.col("text")).alias("x")).collect()
+        sent_before = []
+
+        def one_at_a_time(sent):
+            assert not any(os.path.exists(x._path) for x in sent_before)  # those before are destroyed
+            sent_before.append(sent)
+            return matcher(sent)
+
+        monkeypatch.setattr(decontaminate, "_matcher", one_at_a_time)
+        rows, items = decontaminate.contamination(df, bench)
+        got = rows.select("_doc.doc_id", items.alias("x")).collect()
+        assert (len(sent_before) > 1) == (size == 2000)
         assert {x["doc_id"]: x["x"] for x in got} == want
+    monkeypatch.setattr(decontaminate, "_matcher", matcher)
     clean = decontaminate.drop_contaminated(odd, bench)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(docs)
@@ -166,6 +179,15 @@ def test_wand_retrieves_all_above_threshold(dense, monkeypatch):
 # toxicity
 
 
+def test_least(spark):
+    rows = spark.createDataFrame([(k, k % 3) for k in range(500)], "k long, j long")
+    for most in (0, 1, 100, 499, 500, 900):
+        for hashed in (F.xxhash64("k"), F.xxhash64("j")):  # the second has many ties
+            want = rows.orderBy(hashed, "k").limit(most).collect()
+            assert sorted(common.least(rows, hashed, most, "k").collect()) == sorted(want)
+    assert common.least(rows.limit(0), F.xxhash64("k"), 5, "k").count() == 0
+
+
 def test_toxicity(spark, odd, none, labels):
     rng = random.Random(1)
     rows, said = [], []
