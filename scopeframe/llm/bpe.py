@@ -28,9 +28,9 @@ from . import common, vec
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens of up to SHORT bytes are merged many at a time and remembered by the worker, REMEMBERED at most before a batch;
 #: then the memory is emptied. Longer ones have a queue of their own.
-SHORT, REMEMBERED = 64, 300_000
+SHORT, REMEMBERED = 64, 150_000
 #: Texts are encoded in runs of so many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 TRUE = np.ones(1, bool)
 
 
