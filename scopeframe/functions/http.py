@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
 from .responses import text_at
 
 NOT_SUPPORTED, TRANSIENT = "not_supported", "transient"
@@ -46,14 +47,20 @@ def error_fields(body: Column) -> Column:
 
 def classify(status: Column, body: Column) -> Column:
     """not_supported: the way of asking is unknown to the service; transient: anything else."""
-    fields = error_fields(body)
-    text = F.when(fields.isNotNull(), F.lower(F.concat_ws(" ", fields["message"], fields["code"], fields["param"]))).otherwise(F.lower(body))
-    said = F.lit(False)
-    for parts in COMPLAINTS:
-        here = F.lit(True)
-        for x in parts:
-            here = here & F.contains(text, F.lit(x))
-        said = said | here
-    named = F.lower(F.coalesce(fields["param"], F.lit(""))).isin(*PARAMETERS)
+
+    def complains(text: Column) -> Column:
+        said = F.lit(False)
+        for parts in COMPLAINTS:
+            here = F.lit(True)
+            for x in parts:
+                here = here & F.contains(text, F.lit(x))
+            said = said | here
+        return said
+
+    def about_the_way(fields: Column) -> Column:
+        text = F.when(fields.isNotNull(), F.lower(F.concat_ws(" ", fields["message"], fields["code"], fields["param"]))).otherwise(F.lower(body))
+        named = F.lower(F.coalesce(fields["param"], F.lit(""))).isin(*PARAMETERS)
+        return named | F.coalesce(bind(text, complains), F.lit(False))
+
     asked = (status >= 400) & (status < 500) & ~status.isin(401, 403, 408, 429)
-    return F.when(asked & (named | F.coalesce(said, F.lit(False))), NOT_SUPPORTED).otherwise(TRANSIENT)
+    return F.when(asked & bind(error_fields(body), about_the_way), NOT_SUPPORTED).otherwise(TRANSIENT)

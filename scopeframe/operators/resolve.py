@@ -33,20 +33,85 @@ def split_suffix(name: str) -> tuple[str, int | None, bool]:
     return stem_, number if number <= MOST_U64 else None, True
 
 
+class Spans:
+    """Spans (enter, exit, symbol) in order, in blocks that know their greatest exit, so that a look back for a span around a place
+    skips blocks instead of walking all spans before it."""
+
+    BLOCK = 64
+
+    def __init__(self):
+        self.blocks: list[list[tuple[int, int, int]]] = []
+        self.firsts: list[tuple[int, int, int]] = []
+        self.most: list[int] = []
+
+    def _block(self, span: tuple[int, int, int]) -> int:
+        return max(bisect_right(self.firsts, span) - 1, 0)
+
+    def _tell(self, k: int) -> None:
+        self.firsts[k] = self.blocks[k][0]
+        self.most[k] = max(x[1] for x in self.blocks[k])
+
+    def add(self, span: tuple[int, int, int]) -> None:
+        if not self.blocks:
+            self.blocks, self.firsts, self.most = [[span]], [span], [span[1]]
+            return
+        k = self._block(span)
+        insort(self.blocks[k], span)
+        if len(self.blocks[k]) > 2 * self.BLOCK:
+            self.blocks[k : k + 1] = [self.blocks[k][: self.BLOCK], self.blocks[k][self.BLOCK :]]
+            self.firsts.insert(k, span)
+            self.most.insert(k, 0)
+            self._tell(k + 1)
+        self._tell(k)
+
+    def drop(self, span: tuple[int, int, int]) -> None:
+        if not self.blocks:
+            return
+        k = self._block(span)
+        at = bisect_left(self.blocks[k], span)
+        if at == len(self.blocks[k]) or self.blocks[k][at] != span:
+            return
+        del self.blocks[k][at]
+        if self.blocks[k]:
+            self._tell(k)
+        else:
+            del self.blocks[k], self.firsts[k], self.most[k]
+
+    def around(self, place: int) -> tuple[int, int, int] | None:
+        """The last span that begins at or before a place and ends after it."""
+        last = (place, 1 << 60, 1 << 60)
+        for k in range(bisect_right(self.firsts, last) - 1, -1, -1):
+            if self.most[k] > place:
+                for x in reversed(self.blocks[k][: bisect_right(self.blocks[k], last)]):
+                    if x[1] > place:
+                        return x
+        return None
+
+    def begins_within(self, enter: int, exit_: int) -> bool:
+        """Whether any span begins after enter and before exit_."""
+        if not self.blocks:
+            return False
+        last = (enter, 1 << 60, 1 << 60)
+        k = self._block(last)
+        at = bisect_right(self.blocks[k], last)
+        if at < len(self.blocks[k]):
+            return self.blocks[k][at][0] < exit_
+        return k + 1 < len(self.firsts) and self.firsts[k + 1][0] < exit_
+
+
 class Family:
     """The names of one family in one source."""
 
     def __init__(self):
-        self.bound: dict[str, list[tuple[int, int, int]]] = {}  # name: sorted (enter, exit, symbol)
+        self.bound: dict[str, Spans] = {}
         self.free: dict[str, list[int]] = {}  # unresolved name: sorted enters of its uses
 
     def add(self, name: str, enter: int, exit_: int, symbol: int) -> None:
-        insort(self.bound.setdefault(name, []), (enter, exit_, symbol))
+        self.bound.setdefault(name, Spans()).add((enter, exit_, symbol))
 
     def drop(self, name: str, enter: int, exit_: int, symbol: int) -> None:
-        held = self.bound.get(name)
-        if held and (enter, exit_, symbol) in held:
-            held.remove((enter, exit_, symbol))
+        if name in self.bound:
+            self.bound[name].drop((enter, exit_, symbol))
 
     def collides(self, name: str, enter: int, exit_: int, symbol: int) -> bool:
         uses = self.free.get(name)
@@ -55,15 +120,10 @@ class Family:
             if at < len(uses) and uses[at] < exit_:
                 return True
         held = self.bound.get(name)
-        if not held:
+        if held is None:
             return False
-        at = bisect_right(held, (enter, 1 << 60, 1 << 60))
-        for a, b, s in reversed(held[:at]):
-            if b > enter:  # encloses the symbol's scope, and is the nearest that does
-                if s != symbol:
-                    return True
-                break
-        return at < len(held) and held[at][0] < exit_
+        nearest = held.around(enter)
+        return nearest is not None and nearest[2] != symbol or held.begins_within(enter, exit_)
 
     def resolve(self, base: str, enter: int, exit_: int, symbol: int) -> str:
         if not self.collides(base, enter, exit_, symbol):

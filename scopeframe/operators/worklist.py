@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
+
 DEFAULT_CONTEXT = 500
 
 
@@ -54,17 +56,26 @@ def worklist(parsed: DataFrame, context_size: int = DEFAULT_CONTEXT) -> DataFram
     """A row for each symbol: its scope's span (the whole source if that begins at byte 0), size, ord (from 1: larger scopes
     first, then by place), total and surrounding text.
 
-    A source's symbols are sorted inside its own row, so nothing is shuffled."""
-    n = F.octet_length("code")
-    spans = F.map_from_entries(F.transform("scopes", lambda s: F.struct(s["scope_id"], F.struct(F.when(s["span_start"] == 0, 0).otherwise(s["span_start"]).alias("a"), F.when(s["span_start"] == 0, n).otherwise(s["span_end"]).alias("b"), s["enter"].alias("enter"), s["exit"].alias("exit")))))
-    rows = parsed.where("parse_error is null and size(symbols) > 0").select("source_id", F.col("code").cast("binary").alias("code"), "symbols", spans.alias("_spans"))
+    A source's symbols are sorted and their windows cut inside its own row, so nothing is shuffled, and the code is read once a
+    source, not once a symbol. Scopes are numbered from 0 in their own order, so a scope is found by its place."""
+    source = F.struct(F.col("code").cast("binary").alias("code"), F.col("scopes").alias("scopes"), F.col("symbols").alias("symbols"))
+
+    def listed(x: Column) -> Column:
+        n = F.octet_length(x["code"])
+
+        def entry(s: Column) -> Column:
+            scope = F.get(x["scopes"], s["scope_id"])
+            whole = scope["span_start"] == 0
+            a, b = F.when(whole, 0).otherwise(scope["span_start"]), F.when(whole, n).otherwise(scope["span_end"])
+            size = F.greatest(b - a, F.lit(0))
+            return F.struct((-size).alias("order"), s["decl_start"].alias("decl_start"), s["symbol_id"].alias("symbol_id"), size.alias("size"), s["name"].alias("name"), s["scope_id"].alias("scope_id"), s["decl_end"].alias("decl_end"), s["kind"].alias("kind"), a.alias("scope_start"), b.alias("scope_end"), scope["enter"].alias("enter"), scope["exit"].alias("exit"))
+
+        def shown(s: Column) -> Column:
+            return F.struct(s.alias("s"), window(x["code"], s["scope_start"], s["scope_end"], s["decl_start"], s["decl_end"], F.lit(context_size)).alias("surrounding"))
 
-    def entry(s: Column) -> Column:
-        span = F.element_at("_spans", s["scope_id"])
-        size = F.greatest(span["b"] - span["a"], F.lit(0))
-        return F.struct((-size).alias("order"), s["decl_start"].alias("decl_start"), s["symbol_id"].alias("symbol_id"), size.alias("size"), s["name"].alias("name"), s["scope_id"].alias("scope_id"), s["decl_end"].alias("decl_end"), s["kind"].alias("kind"), span["a"].alias("scope_start"), span["b"].alias("scope_end"), span["enter"].alias("enter"), span["exit"].alias("exit"))
+        return F.transform(F.array_sort(F.transform(x["symbols"], entry)), shown)
 
-    ordered = F.array_sort(F.transform("symbols", entry))
-    out = rows.select("source_id", "code", F.size("symbols").alias("total"), F.posexplode(ordered).alias("_pos", "s"))
-    shown = window(F.col("code"), F.col("s.scope_start"), F.col("s.scope_end"), F.col("s.decl_start"), F.col("s.decl_end"), F.lit(context_size))
-    return out.select("source_id", *(F.col(f"s.{k}") for k in ("symbol_id", "name", "kind", "scope_id", "enter", "exit", "scope_start", "scope_end", "size", "decl_start", "decl_end")), (F.col("_pos") + 1).alias("ord"), "total", shown.alias("surrounding"))
+    # outer, as Spark would cut the windows once more to test that there are any
+    rows = parsed.where("parse_error is null and size(symbols) > 0")
+    out = rows.select("source_id", F.size("symbols").alias("total"), F.posexplode_outer(bind(source, listed)).alias("_pos", "w"))
+    return out.select("source_id", *(F.col(f"w.s.{k}") for k in ("symbol_id", "name", "kind", "scope_id", "enter", "exit", "scope_start", "scope_end", "size", "decl_start", "decl_end")), (F.col("_pos") + 1).alias("ord"), "total", "w.surrounding")
