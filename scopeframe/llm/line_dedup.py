@@ -6,9 +6,13 @@ segments, one of which a near line must hold unchanged; a line probes the substr
 line of its length or up to EDITS less, by the multi-match-aware choice of starts. Candidates must have nearly the same letters and hold all but EDITS of PIECES finer segments near
 their places, and what is left is verified by a banded bit-parallel automaton: of each number of edits, a word with a bit for each diagonal.
 
+Keys that lines share are found by the counts of the index first, in rows by lines and keys. Only lines that share one have their
+letters counted, and lines of a key become pairs only if the parities of those counts allow it.
+
 A key that over HOT lines have in the index doesn't give pairs. All its lines are held against the earliest of them; those that
-aren't near it go to blocks by hash, and pairs of blocks are verified inside a row. So a family of many variants of a line takes
-time in proportion to it, and no pairs of it become rows.
+aren't near it are held against the lines that also have the same count of each letter in one of 2 EDITS + 1 shares of the
+letters, as each near line has: in blocks by hash, pairs of which are verified inside a row. So a family of many variants of a
+line takes time in proportion to it, lines that merely share a passage seldom meet, and no pairs become rows.
 
 A line is dropped if it isn't the first of its copies, or is near an earlier line. So the decision on a line depends on earlier
 lines only, and no chains are followed.
@@ -266,6 +270,13 @@ def cut(n: Column, k: Column | int, parts: int) -> Column:
     return F.call_function("div", n * k, F.lit(parts)).cast("int")
 
 
+def finer_keys(k: Column, p: Column, edits: int) -> Column:
+    """A key's hashes with the counts of each share of the letters. Near lines differ in 2 ``edits`` counts at most, so they agree
+    in one of the 2 ``edits`` + 1 shares; each share has frequent letters and rare ones."""
+    shares = 2 * edits + 1
+    return F.array(*(F.xxhash64(k, F.lit(g), *(F.get(p, F.lit(i)) for i in range(g, len(LETTERS) + 1, shares))) for g in range(shares)))
+
+
 def keys_of(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int) -> DataFrame:
     """lid and k, for each of (less, segment, shift): the hash of the line's bytes that would be the segment of a line of
     ``less`` bytes less, if they lie ``shift`` bytes to the right there. A row a spec, so that compiled code stays short."""
@@ -370,30 +381,30 @@ def tasks_for(rows: int, each: int) -> int:
     return max(1, min(rows // each, MOST_TASKS))
 
 
-def later_in_crowds(lines: DataFrame, probes: DataFrame, crowded: DataFrame, edits: int) -> DataFrame:
-    """lid of lines that are near an earlier line with which they share a crowded key. ``lines``: lid, line, first.
+def later_in_crowds(texts: DataFrame, members: DataFrame, edits: int) -> DataFrame:
+    """lid of lines that are near an earlier line with which they share a crowded key. ``texts``: lid and x (first, lid and what
+    :func:`marked` adds); ``members``: k and lid.
 
     Most of a family of variants is near its earliest line, which all members of a key are held against first. What is left is
-    held against all members, in pairs of blocks dealt by key and block."""
-    members = common.materialise(probes.join(crowded.select("k"), "k").select("k", "lid").distinct(), "crowd-keys")
-    texts = lines.join(members.select(F.col("lid").alias("w")), F.col("lid") == F.col("w"), "left_semi")
-    whole = marked(F.col("line"), first=F.col("first"), lid=F.col("lid")).alias("x")
-    crowd = common.materialise(members.join(texts, "lid").select("k", whole), "crowds", "zstd")
-    heads = common.materialise(crowd.groupBy("k").agg(F.min("x").alias("head"), F.count("*").alias("n")), "crowd-heads")
-    beside = crowd.join(heads, "k").where("x.lid <> head.lid").select("k", "n", "x", near_any(F.col("head"), F.col("x"), edits).alias("near"))
+    held against all members of its finer keys, in pairs of blocks dealt by key and block."""
+    crowd = common.materialise(members.join(texts, "lid").select("k", "x"), "crowds", "zstd")
+    heads = common.materialise(crowd.groupBy("k").agg(F.min("x").alias("head")), "crowd-heads")
+    beside = crowd.join(heads, "k").where("x.lid <> head.lid").select("k", "x", near_any(F.col("head"), F.col("x"), edits).alias("near"))
     beside = common.materialise(beside, "beside-heads", "zstd")
     settled = common.materialise(beside.where("near").select(F.col("x.lid").alias("lid")).distinct(), "settled-lines")
-    rest = beside.where("not near").join(settled, F.col("x.lid") == F.col("lid"), "left_anti").select("k", "n", "x")
+    rest = beside.where("not near").join(settled, F.col("x.lid") == F.col("lid"), "left_anti").select("k", "x")
     rest = common.materialise(rest, "unsettled-lines", "zstd")
     if rest.isEmpty():
         return settled
-    sizes = rest.groupBy("k").agg(F.count("*").alias("u"), F.first("n").alias("n"))
+    finer = lambda df: df.withColumn("k", F.explode(finer_keys(F.col("k"), F.col("x.p"), edits)))
+    counted = lambda df, n: finer(df).groupBy("k").agg(F.count("*").alias(n))
+    sizes = common.materialise(counted(rest, "u").join(counted(crowd, "n"), "k").where("n > 1"), "finer-keys")
     dealt = lambda n: F.pmod(F.xxhash64("x.lid"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    left = rest.drop("n").join(sizes, "k").groupBy("k", "n", dealt("u").alias("p")).agg(F.collect_list("x").alias("xs"))
+    left = finer(rest).join(sizes, "k").groupBy("k", "n", dealt("u").alias("p")).agg(F.collect_list("x").alias("xs"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
-    right = crowd.join(sizes, "k").groupBy("k", dealt("n").alias("q")).agg(F.collect_list("x").alias("ys"))
+    right = finer(crowd).join(sizes, "k").groupBy("k", dealt("n").alias("q")).agg(F.collect_list("x").alias("ys"))
     left, right = common.materialise(left, "blocks-left", "zstd"), common.materialise(right, "blocks-right", "zstd")
-    tasks = tasks_for(left.count(), 8)
+    tasks = tasks_for(sizes.agg(F.sum(F.col("u") * F.col("n"))).first()[0] or 0, 4000)
     met = left.repartition(tasks, "k", "q").join(right.repartition(tasks, "k", "q"), ["k", "q"])
     found = F.filter("xs", lambda a: F.exists("ys", lambda b: F.when(b["first"] < a["first"], near_any(a, b, edits)).otherwise(False)))
     return met.select(F.explode(F.transform(found, lambda a: a["lid"])).alias("lid")).unionByName(settled).distinct()
@@ -402,23 +413,25 @@ def later_in_crowds(lines: DataFrame, probes: DataFrame, crowded: DataFrame, edi
 def later_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """lid of each line that is near an earlier one. ``lines``: lid, line, first, of distinct lines."""
     long = lines.where(F.octet_length("line") >= least)
-    index, probes = index_keys(long, edits), probe_keys(long, edits)
+    counted = index_keys(long, edits).groupBy("k").agg(F.count("*").alias("n"), F.min("lid").alias("only"))
+    # a line has its own index keys among its probes, so that a key of more index rows has a hit for each of them
+    hits = probe_keys(long, edits).join(counted, "k").where("n > 1 or lid <> only").select("k", "lid", "n", "only").distinct()
+    hits = common.materialise(hits, "line-hits")
+    wanted = common.materialise(hits.select(F.col("lid").alias("w")).union(hits.where("n = 1").select("only")).distinct(), "candidate-ids")
+    texts = long.join(common.small(wanted), F.col("lid") == F.col("w"), "left_semi").select("lid", marked(F.col("line"), first=F.col("first"), lid=F.col("lid")).alias("x"))
+    texts = common.materialise(texts, "candidate-lines", "zstd")
     # a key of few index rows gives at most so many pairs a probe, however many probe it
-    crowded = common.materialise(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot), "crowded-keys")
-    some = not crowded.isEmpty()
-    if some:
-        index = index.join(crowded, "k", "left_anti")
-    met = index.withColumnRenamed("lid", "i").join(probes.withColumnRenamed("lid", "p"), "k").where("i <> p")
+    probes = hits.where(F.col("n") <= hot).join(texts.select("lid", F.col("x.sk").alias("ps")), "lid").select("k", F.col("lid").alias("p"), "ps")
+    index = index_keys(texts.select("lid", F.col("x.line").alias("line")), edits).join(texts.select("lid", F.col("x.sk").alias("is")), "lid").withColumnRenamed("lid", "i")
+    met = index.join(probes, (index["k"] == probes["k"]) & (F.col("i") != F.col("p")) & (F.bit_count(F.col("is").bitwiseXOR(F.col("ps"))) <= 2 * edits))
     met = common.materialise(met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct(), "line-candidates")
-    wanted = common.materialise(met.select(F.col("a").alias("w")).union(met.select("b")).distinct(), "candidate-ids")
-    texts = long.join(common.small(wanted), F.col("lid") == F.col("w"), "left_semi").select("lid", marked(F.col("line"), first=F.col("first")).alias("x"))
-    texts = common.materialise(texts, "candidate-lines", "zstd")
     own = lambda x: texts.select(F.col("lid").alias(x), F.col("x").alias(f"x{x}"))
     tasks = tasks_for(met.count(), 4000)
     pairs = met.join(own("a"), "a").repartition(tasks, "b").join(own("b").repartition(tasks, "b"), "b").where(near_any(F.col("xa"), F.col("xb"), edits))
     found = pairs.select(F.when(F.col("xa.first") < F.col("xb.first"), F.col("b")).otherwise(F.col("a")).alias("lid"))
-    if some:
-        found = found.unionByName(later_in_crowds(long, probes, crowded, edits))
+    crowded = common.materialise(hits.where(F.col("n") > hot).select("k", "lid"), "crowd-keys")
+    if not crowded.isEmpty():
+        found = found.unionByName(later_in_crowds(texts, crowded, edits))
     return found.distinct()
 
 

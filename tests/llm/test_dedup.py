@@ -257,6 +257,27 @@ def test_lines_of_a_family(spark, monkeypatch):
     assert {tag: df.count() for tag, df in made}.get("unsettled-lines", 0) < 150 * 12
 
 
+@pytest.mark.parametrize("hot", [48, 8])
+def test_lines_that_share_a_passage(spark, hot, monkeypatch):
+    """Lines that hold the same passage and differ otherwise: neither rows nor what is held against one another inside rows
+    follow their pairs, and none of the near lines among them is lost."""
+    monkeypatch.setattr(line_dedup.later_lines, "__defaults__", (2, 24, hot))
+    made = {}
+    write = line_dedup.common.materialise
+    monkeypatch.setattr(line_dedup.common, "materialise", lambda df, tag, *more: made.setdefault(tag, write(df, tag, *more)))
+    rng = random.Random(6)
+    # of equal length, so that the index has 40 lines a key: under one limit, over the other
+    lines = ["a passage that is in all of these lines " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40)) for _ in range(40)]
+    lines += [mutated(rng, x, 2) for x in lines[:10]]
+    got = line_check(spark, list(enumerate(lines)))
+    assert sum(x[4] * n for x, n in got.items()) >= 8
+    assert made["line-candidates"].count() < 100
+    if hot == 8:
+        left, right = made["blocks-left"].select("k", "q", F.size("xs").alias("u")), made["blocks-right"].select("k", "q", F.size("ys").alias("n"))
+        pairs = left.join(right, ["k", "q"]).agg(F.sum(F.col("u") * F.col("n"))).first()[0]
+        assert pairs < 50 * 50 // 4
+
+
 def test_near_lines_are_alike(spark):
     """No near pair is ruled out by letters, and most others are."""
     rng = random.Random(1)
