@@ -52,9 +52,9 @@ def window(code: Column, scope_start: Column, scope_end: Column, start: Column,
     return F.substring(code, chosen["a"] + 1, F.greatest(chosen["b"] - chosen["a"], zero)).cast("string")
 
 
-def worklist(parsed: DataFrame, context_size: int = DEFAULT_CONTEXT) -> DataFrame:
+def worklist(parsed: DataFrame, context_size: int | Column = DEFAULT_CONTEXT) -> DataFrame:
     """A row for each symbol: its scope's span (the whole source if that begins at byte 0), size, ord (from 1: larger scopes
-    first, then by place), total and surrounding text.
+    first, then by place), total and surrounding text. ``context_size`` in bytes, or an expression over ``parsed`` for a size by source.
 
     A source's symbols are sorted and their windows cut inside its own row, so nothing is shuffled, and the code is read once a
     source, not once a symbol. Scopes are numbered from 0 in their own order, so a scope is found by its place."""
