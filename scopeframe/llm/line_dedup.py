@@ -270,11 +270,11 @@ def cut(n: Column, k: Column | int, parts: int) -> Column:
     return F.call_function("div", n * k, F.lit(parts)).cast("int")
 
 
-def finer_keys(k: Column, p: Column, edits: int) -> Column:
-    """A key's hashes with the counts of each share of the letters. Near lines differ in 2 ``edits`` counts at most, so they agree
-    in one of the 2 ``edits`` + 1 shares; each share has frequent letters and rare ones."""
+def shares_of(p: Column, edits: int) -> Column:
+    """Hashes of the counts of each share of the letters. Near lines differ in 2 ``edits`` counts at most, so they agree in one of
+    the 2 ``edits`` + 1 shares; each share has frequent letters and rare ones."""
     shares = 2 * edits + 1
-    return F.array(*(F.xxhash64(k, F.lit(g), *(F.get(p, F.lit(i)) for i in range(g, len(LETTERS) + 1, shares))) for g in range(shares)))
+    return F.array(*(F.xxhash64(F.lit(g), *(F.get(p, F.lit(i)) for i in range(g, len(LETTERS) + 1, shares))) for g in range(shares)))
 
 
 def keys_of(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int) -> DataFrame:
@@ -396,17 +396,22 @@ def later_in_crowds(texts: DataFrame, members: DataFrame, edits: int) -> DataFra
     rest = common.materialise(rest, "unsettled-lines", "zstd")
     if rest.isEmpty():
         return settled
-    finer = lambda df: df.withColumn("k", F.explode(finer_keys(F.col("k"), F.col("x.p"), edits)))
+    shared = lambda df: df.select("k", F.col("x").withField("h", shares_of(F.col("x.p"), edits)).alias("x"))
+    finer = lambda df: shared(df).select("x", F.posexplode(F.transform("x.h", lambda h: F.xxhash64("k", h))).alias("g", "k"))
     counted = lambda df, n: finer(df).groupBy("k").agg(F.count("*").alias(n))
     sizes = common.materialise(counted(rest, "u").join(counted(crowd, "n"), "k").where("n > 1"), "finer-keys")
     dealt = lambda n: F.pmod(F.xxhash64("x.lid"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    left = finer(rest).join(sizes, "k").groupBy("k", "n", dealt("u").alias("p")).agg(F.collect_list("x").alias("xs"))
+    left = finer(rest).join(sizes, "k").groupBy("k", "g", "n", dealt("u").alias("p")).agg(F.collect_list("x").alias("xs"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
     right = finer(crowd).join(sizes, "k").groupBy("k", dealt("n").alias("q")).agg(F.collect_list("x").alias("ys"))
     left, right = common.materialise(left, "blocks-left", "zstd"), common.materialise(right, "blocks-right", "zstd")
-    tasks = tasks_for(sizes.agg(F.sum(F.col("u") * F.col("n"))).first()[0] or 0, 4000)
+    tasks = tasks_for(sizes.agg(F.sum(F.col("u") * F.col("n"))).first()[0] or 0, (2 * edits + 1) * 8 * BLOCK * BLOCK)
     met = left.repartition(tasks, "k", "q").join(right.repartition(tasks, "k", "q"), ["k", "q"])
-    found = F.filter("xs", lambda a: F.exists("ys", lambda b: F.when(b["first"] < a["first"], near_any(a, b, edits)).otherwise(False)))
+    # two lines that agree in several shares are held against one another in the first of them
+    here = lambda a, b: F.array_position(F.zip_with(a["h"], b["h"], lambda x, y: x == y), F.lit(True)) == F.col("g") + 1
+    apart = lambda a, b: F.bit_count(a["sk"].bitwiseXOR(b["sk"])) > 2 * edits
+    held = lambda a, b: F.when((b["first"] >= a["first"]) | apart(a, b), False).when(here(a, b), near_any(a, b, edits)).otherwise(False)
+    found = F.filter("xs", lambda a: F.exists("ys", lambda b: held(a, b)))
     return met.select(F.explode(F.transform(found, lambda a: a["lid"])).alias("lid")).unionByName(settled).distinct()
 
 
